@@ -1,12 +1,70 @@
-"""The corpus pipeline: five stages from raw documents to sharded training data."""
+"""The corpus pipeline: from raw documents to sharded training data, in five stages.
+
+Each stage gets what the one before it kept, in the columns of `documents`; the last
+adds the shard. Rows that a stage keeps are never dropped later for anything but
+that stage's own rule:
+
+1. language identification: documents without a letter, or of no learnt language, go;
+2. n-gram Jaccard join: one document of each group of near copies stays;
+3. benchmark decontamination: contaminated documents go;
+4. mixing: documents become the rows of the mix, repeated or cut to the words taken;
+5. sharding: every row gets its shard and slot.
+
+Every stage accepts nulls, empty tables and further columns; what happens to them
+is told in the operators' own modules.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webstrata.llm import decontam, lang_id, mixing, ngram_join, sharding
+from webstrata.llm._io import scratch, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents; `lang` becomes what is predicted where it was null."""
+    model = lang_id.train(docs)
+    found = lang_id.identify(docs, model, pred="lang_pred", score="lang_score").where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.assign(docs, 40)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-STAGES: list = []
+#: The stages draw from models and permutations, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the folder that spark.checkpoint.dir names.
-
-    A lost executor loses nothing: the files are shared. Only where no folder is
-    set (tests in one process) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where none is set (tests in one process) a local one is made."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, so a lost executor loses nothing."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def bounded(n_rows: int, row_bytes: int, most: int) -> bool:
-    """Whether that many rows may be broadcast."""
-    return n_rows * row_bytes <= most
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables in the shared folder."""
+    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def free_name(taken: list[str], base: str) -> str:
@@ -40,13 +41,6 @@ def free_name(taken: list[str], base: str) -> str:
     return name
 
 
-def sha_hex(col: Column) -> Column:
-    return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
-
-
 def renamed(df: DataFrame, needed: list[str]) -> DataFrame:
     """Only the columns asked for, under those very names, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
-
-
-__all__ = ["T", "bounded", "free_name", "os", "renamed", "sha_hex", "stored", "table"]

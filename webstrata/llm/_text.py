@@ -154,3 +154,36 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+class Counts:
+    """Counts of 64-bit keys, gathered batch by batch; sorted by key."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Adds distinct sorted keys; tells which of them are new."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[at[known]] += n[known]
+        fresh = ~known
+        if fresh.any():
+            place = np.searchsorted(self.keys, keys[fresh])
+            self.keys, self.n = np.insert(self.keys, place, keys[fresh]), np.insert(self.n, place, n[fresh])
+        return fresh
+
+    def drain(self, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """Batches (h, n) of all that was gathered; begins anew."""
+        for at in range(0, len(self.keys), rows):
+            yield pa.RecordBatch.from_arrays([pa.array(self.keys[at : at + rows].view(np.int64)), pa.array(self.n[at : at + rows])], ["h", "n"])
+        self.__init__()
+
+
+def look_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place among sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
+    return at, (keys[at] == values if len(keys) else np.zeros(len(values), bool))
