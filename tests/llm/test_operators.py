@@ -1,0 +1,284 @@
+"""Each operator against a plain statement of its rule, with nulls, ties, repeated rows, empty tables and clashing columns."""
+
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from brute import SPACED, components, contamination, low, repeats, sha
+from pyspark.sql import functions as F
+
+from webstrata.llm import _induced, chat_format, decontam, lang_id, lm_score, mixing, ngram_join, sharding, suffix_dedup, token_counts, topk
+from webstrata.llm._text import ALNUM, SPACED as SPACED_BYTES
+from webstrata.llm._text import flat, word_hashes, words
+
+DOCS = "doc_id long, text string, source string, lang string, n_chars long"
+
+
+def made(rng, n, vocab=40):
+    return " ".join(f"w{rng.randrange(vocab)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    base = made(rng, 120, 400)
+    near = [" ".join(w if rng.random() > 0.01 else "changed" for w in base.split()) for _ in range(6)]
+    passage = made(rng, 70, 300)
+    out = [base, base, *near, None, "", " \t\n", "One", "one", "a b c d", "A  b\tC d", "Ünï cödé — ça", "x" * 5000, "y " * 3000]
+    out += [made(rng, rng.randrange(5, 90), 60) for _ in range(12)]
+    out += [f"{made(rng, 30, 500)} {passage} {made(rng, 20, 500)}" for _ in range(4)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, [None, "a", "b", "B"][i % 4], ["en", "de", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_words_and_hashes():
+    import pyarrow as pa
+
+    data, offs = flat(pa.array(["Ab c", None, "c-d", "é x"]))
+    s, e, by = words(data, offs, SPACED_BYTES)
+    assert [bytes(data[a:b]).decode() for a, b in zip(s, e, strict=True)] == ["Ab", "c", "c-d", "é", "x"] and by.tolist() == [0, 2, 2, 3, 5]
+    s2, e2, _ = words(data, offs, ALNUM)
+    assert [bytes(data[a:b]).decode() for a, b in zip(s2, e2, strict=True)] == ["b", "c", "c", "d", "é", "x"]
+    h = word_hashes(data, s2, e2)
+    assert h[1] == h[2] and len(set(h.tolist())) == 5
+
+
+def test_chat_round_trip(spark):
+    odd = ["\\### Assistant: </turn> ok", "####", "#\\###", "</turn></turn>", "a\\", "", None, "### ", "</tur", "\n</turn>\n"]
+    rows = [(1, i, ["user", "assistant"][i % 2], t, "extra") for i, t in enumerate(odd)]
+    rows += [(2, 0, "assistant", "early", ""), (3, 0, None, "x", ""), (3, 1, "to:ol ", "y", ""), (None, 0, "user", "q", ""), (None, 1, "assistant", "a", ""), (4, 0, "user", "z", ""), (4, 0, "user", "b", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    out = chat_format.format_chat(df)
+    got = {r["conv_id"]: r for r in out.select("*", chat_format.read_back(F.col("formatted")).alias("back"), chat_format.loss_text(F.col("segments")).alias("loss")).collect()}
+    assert [(x["role"], x["text"]) for x in got[1]["back"]] == [(["user", "assistant"][i % 2], t or "") for i, t in enumerate(odd)]
+    assert got[1]["loss"] == "".join(t or "" for i, t in enumerate(odd) if i % 2) and got[1]["valid"]
+    assert not got[2]["valid"] and got[2]["bad_turn"] == 0
+    assert [x["role"] for x in got[3]["back"]] == ["", "to:ol "] and not got[3]["valid"]
+    assert got[None]["valid"] and [x["text"] for x in got[4]["back"]] == ["b", "z"]
+    assert chat_format.format_chat(df.limit(0)).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_decontamination(spark, docs, texts):
+    rng = random.Random(5)
+    long = made(rng, 30, 200)
+    bench = [(1, long), (10, "One"), (2, None), (3, ""), (4, " ".join(long.split()[5:25])), (4, "again w"), (5, texts[0])]
+    extra = [(100, f"intro {long} end"), (101, " ".join(long.split()[2:16])), (102, " ".join(long.split()[:12]))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("matches", F.lit(1))
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for block in (8 << 20, 300):
+        got = {r["doc_id"]: r for r in decontam.annotate(df, b, block_bytes=block).collect()}
+        for i, t in [*enumerate(texts), *extra]:
+            n, hit, items = contamination(t, bench)
+            assert (got[i]["n_words"], got[i]["n_hit"], set(got[i]["items"])) == (n, hit, items), (i, block)
+            assert got[i]["contaminated"] == (hit > 0 and 20 * hit >= n)
+    best = max(got[100]["matches"], key=lambda m: m["n_words"])
+    assert (best["item_id"], best["item_word"], best["doc_word"], best["n_words"]) == (1, 0, 1, 30)
+    assert decontam.decontaminate(docs, b.limit(0)).count() == len(texts) and decontam.annotate(docs.limit(0), b).count() == 0
+
+
+def test_targets_reshare():
+    assert mixing.targets([10, 10, 10]) == pytest.approx([20.0, 8.333333, 16.666667])
+    assert mixing.targets([]) == [] and mixing.targets([0, 5]) == pytest.approx([0, 7.5])
+
+
+def test_permutation():
+    n = np.full(1000, 1000)
+    key = np.full(1000, 77, np.uint64)
+    p = mixing.permute(np.arange(1000), n, key)
+    assert sorted(p.tolist()) == list(range(1000)) and mixing.permute(p, n, key, back=True).tolist() == list(range(1000))
+
+
+def test_mixing(spark, docs, texts, empty):
+    df = docs.unionByName(docs.where("doc_id < 3")).withColumn("taken", F.lit("clash"))
+    m = mixing.mix_sources(df, block_words=16, n_shards=5)
+    rows = mixing.taken(m).collect()
+    size = {i: len(SPACED.findall(t or "")) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts) + 3 and all(r["size"] == size[r["key"]] and r["taken"] <= 2 * r["size"] for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert sum(r["size"] for r in rs) == rs[0]["source_size"] and sum(r["taken"] for r in rs) == math.floor(rs[0]["target"] + 1e-6)
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.taken(mixing.mix_sources(df, block_words=16, n_shards=5)).collect()), key=str)
+    text = mixing.mixed(df, block_words=16, n_shards=5).collect()
+    assert sum(len(SPACED.findall(r["text"])) for r in text) == sum(r["taken"] for r in rows) and all(r["n_chars"] == len(r["text"]) for r in text)
+    counts = [r["n"] for r in m.slots.groupBy("out_shard").agg(F.count("*").alias("n")).collect()]
+    assert max(counts) - min(counts) <= 1
+    assert mixing.taken(mixing.mix_sources(empty)).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_similarity_classes(docs, texts, empty):
+    rows = ngram_join.similarity_classes(docs.withColumn("cid", F.lit(0))).collect()
+    want = components([(i, t) for i, t in enumerate(texts) if t and t.split()])
+    named = dict(zip([i for i, t in enumerate(texts) if t and t.split()], want, strict=True))
+    assert len(rows) == len(texts) and all(r["component_id"] == named.get(r["doc_id"], r["doc_id"]) for r in rows)
+    kept = ngram_join.one_of_each(docs.unionByName(docs.where("doc_id = 0")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({named.get(i, i) for i in range(len(texts))}) and kept.columns == docs.columns
+    assert ngram_join.similarity_classes(empty).count() == 0
+
+
+def test_similarity_random(spark):
+    rng = random.Random(11)
+    groups = [made(rng, rng.randrange(20, 60), 2000) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = rng.choice(groups).split()
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == components(rows)
+
+
+def test_lm(spark, docs, texts, empty):
+    train = docs.where("doc_id % 5 <> 0")
+    for top in (4, 1 << 10):  # with a small table most counts come by join
+        model = lm_score.train(train, unigrams=top, bigrams=64, context_words=8, log_bits=16)
+        got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
+        toks = {i: [*SPACED.findall(low(t)), ""] for i, t in enumerate(texts)}
+        c = {}
+        for i, ts in toks.items():
+            if i % 5:
+                for t in ts:
+                    c[t] = c.get(t, 0) + 1
+        n, v = sum(c.values()), len(c)
+        for i, ts in toks.items():
+            base = sum(math.log10((c.get(t, 0) + 0.1) / (n + 0.1 * (v + 1))) for t in ts)
+            assert got[i]["base_score"] == pytest.approx(base) and got[i]["n_tokens"] == len(ts) and got[i]["n_known"] == sum(t in c for t in ts) and got[i]["score"] < 0
+    assert lm_score.score(docs, lm_score.train(empty, log_bits=12)).where("n_known = 0").count() == len(texts)
+    assert lm_score.score(empty, model).count() == 0
+
+
+def test_log_bloom():
+    rng = np.random.default_rng(1)
+    keys, counts = rng.integers(0, 1 << 63, 2000).astype(np.uint64), rng.integers(1, 10_000, 2000)
+    b = lm_score.LogBloom(20)
+    b.add(keys, counts)
+    got = b.get(keys)
+    assert (got >= counts * 0.8).all() and np.median(got / counts) < 1.1
+    assert (b.get(rng.integers(0, 1 << 63, 2000).astype(np.uint64)) > 0).mean() < 0.02
+
+
+def test_token_counts(docs, texts, empty):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["It's 'street 're ''s '", "<|endoftext|> a<|startoftext|>b", "日本語 テスト", "İstanbul ﬁ é", " x\u0085y\x1cz\x0b", "12³½ a_b-c", "don't I'LL we'Ve 'm'd"]
+    df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    tok = Tokenizer.from_file(path)
+    for frequent in (5, 1 << 12):
+        got = {r["doc_id"]: r for r in token_counts.count_tokens(df, path, frequent=frequent).collect()}
+        for i, t in [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(odd))]:
+            assert got[i]["n_tokens"] == len(tok.encode(t or "", add_special_tokens=False)), t
+            assert got[i]["n_bytes"] == len((t or "").encode())
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for it in range(150):
+        t = rng.integers(0, rng.integers(1, 5) + 1, rng.integers(1, 70))
+        t = np.concatenate([t, t[: len(t) // 2], t]) if it % 3 == 0 else t
+        sa, lcp = _induced.suffix_array(t.astype(np.uint8), 10**6, memory=8 if it % 2 else 1000, in_memory=1 << 24 if it % 5 else 2)
+        x = t.tolist()
+        want = sorted(range(len(x)), key=lambda i: x[i:])
+        assert sa.tolist() == want
+        for k in range(1, len(want)):
+            a, b = x[want[k - 1] :], x[want[k] :]
+            n = next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+            assert lcp[k] == n
+
+
+def test_suffix_dedup(spark, docs, texts, empty, monkeypatch):
+    rng = random.Random(8)
+    p = made(rng, 90, 900)
+    more = [p[:250] + "1" + p[:260], "é" * 180, "ab" * 300, p[100:420], "q" + p[100:420] + "z", p[50:300] + p[60:310]]
+    all_ = [*texts, *more]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    keys = [*range(len(texts)), *(1000 + i for i in range(len(more)))]
+    raw = [(t or "").encode() for t in all_]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df).collect()}
+    for key, t, gone in zip(keys, raw, repeats(raw), strict=True):
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert (got[key]["n_bytes"], got[key]["n_removed"], got[key]["n_spans"], got[key]["kept_sha256"]) == (len(t), sum(gone), runs, sha(kept)), key
+        assert bytes(got[key]["kept"]) == kept
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+    monkeypatch.setattr(suffix_dedup, "PIECE", 512)  # long texts come in overlapping pieces
+    t = np.frombuffer(raw[0] * 3, np.uint8)
+    s = suffix_dedup.stretches(t, np.array([0, len(t)]))
+    assert s["windows"].sum() == len(t) - 199
+
+
+def test_language(spark, empty):
+    rng = random.Random(4)
+    voc = {"en": ["the", "and", "with", "thing"], "de": ["und", "der", "schön", "ung"], "fr": ["est", "que", "très", "eau"], "es": ["que", "los", "ción", "ñor"]}
+    rows = [(i, " ".join(rng.choice(voc[x]) for _ in range(rng.randrange(10, 80))), x) for i, x in enumerate(rng.choice(list(voc)) for _ in range(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = lang_id.train(df.where("doc_id % 4 <> 2"))
+    assert set(m.members) == {"germanic", "romance"} and set(m.pairs) == {"germanic", "romance"}
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 %%", "x"), (4, "é", "x")], "doc_id long, text string, score string")
+    got = {r["doc_id"]: r for r in lang_id.identify(odd, m).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in voc and got[1]["score"] == 0
+    held = lang_id.identify(df.where("doc_id % 4 = 2"), m)
+    assert held.where("lang_pred = lang").count() >= 0.97 * held.count() and held.where("score between 0 and 1").count() == held.count()
+    none = lang_id.train(df.limit(0))
+    assert lang_id.identify(df.limit(3), none).where("lang_pred = 'und'").count() == 3
+    one = lang_id.train(df.where("lang = 'fr'"))
+    assert lang_id.identify(df.limit(3), one).where("lang_pred = 'fr' and score = 1").count() == 3
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 6)).round(2)
+    x[50:60] = x[0]
+    rows = [(int(i), [float(v) for v in x[i]], "a") for i in range(300)]
+    bad = [(1000, None, ""), (1100, [1.0, None], ""), (1200, [float("nan")] * 6, ""), (1300, [float("inf")] * 6, ""), (1400, [], ""), (1500, [0.0] * 6, "")]
+    df = spark.createDataFrame([*rows, *bad], "vec_id long, embedding array<double>, score string")
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, k=7, block_rows=32, query_bytes=200)
+    out = {}
+    for r in got.collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    v = {i: np.floor(1024 * np.array(e)).astype(int) for i, e, _ in rows} | {1400: np.zeros(6, int), 1500: np.zeros(6, int)}
+    assert set(out) == {0, 100, 200, 1400, 1500}
+    for q, found in out.items():
+        want = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:7]
+        assert sorted(found) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    b = topk.Block(np.arange(4096), np.abs(rng.normal(size=(4096, 3)) * 1024).astype(np.int64))
+    assert b.search(b.vectors[0], -1, 5, np.zeros(0, np.int64), np.zeros(0, np.int64))[2] < 4096
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_sharding(spark, docs, texts, empty, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 3)
+    df = docs.unionByName(docs.where("doc_id < 5")).withColumns({"shard": F.lit("x"), "bucket": F.lit(1)})
+    out = sharding.assign(df, 4)
+    rows = out.collect()
+    assert len(rows) == len(texts) + 5
+    slots = {}
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert r["size"] == len((t or "").encode()) + 16 and r["text_crc32"] == (None if t is None else zlib.crc32(t.encode()))
+        assert r["grown_shard"] in (r["shard"], 4) and 0 <= r["shard"] < 4 and r["bucket"] == 1
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    one = spark.range(5000).select(F.struct(*sharding.jump(F.col("id"), 100)).alias("j")).select("j.*").toPandas()
+    assert one.col1.value_counts().between(20, 90).all() and 0.003 < (one.col1 != one.col2).mean() < 0.02
+    assert sharding.assign(empty, 4).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
