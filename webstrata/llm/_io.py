@@ -44,3 +44,23 @@ def free_name(taken: list[str], base: str) -> str:
 def renamed(df: DataFrame, needed: list[str]) -> DataFrame:
     """Only the columns asked for, under those very names, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows (h, n, ...) with the largest counts n, `most` at most.
+
+    A histogram over levels of n, sixteen to an octave, gives the least level whose
+    rows still fit, so no task ranks more than its own rows; where even the highest
+    level holds too many, or few are asked for, they are ranked by n and h.
+    """
+    level = F.floor(F.log2("n") * 16)
+    if most > 1 << 14:
+        sizes = sorted(((r["k"], r["count"]) for r in counts.groupBy(level.alias("k")).count().collect()), reverse=True)
+        total, least = 0, None
+        for k, size in sizes:
+            if total + size > most:
+                break
+            total, least = total + size, k
+        if least is not None or not sizes:
+            return counts.where(level >= (least or 0))
+    return counts.orderBy(F.desc("n"), "h").limit(most)

@@ -7,6 +7,7 @@ word. Word hashes are 64-bit; they depend on the word alone, not on its place.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 
 #: Texts are taken in pieces of about this many bytes, so a worker's memory is
 #: bounded by this or by the longest single text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 LONG_WORD = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW: dict[str, np.ndarray] = {}
@@ -58,6 +59,15 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
+def tidy() -> None:
+    """Gives freed memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
 def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `most` text bytes each; one row at least."""
     if not batch.num_rows:
@@ -68,6 +78,7 @@ def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES) -> Iterato
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    tidy()
 
 
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,18 +2,22 @@
 
 All n-grams have one order: rare ones first, by counts gathered over all documents.
 If two sets of sizes that fit reach the threshold, their prefixes of
-size - ceil(threshold * size) + l n-grams share at least l. A document whose prefix
-n-grams are frequent gets a longer prefix (a larger l), chosen by the estimated cost
-of scanning and verifying; a pair must share as many as the smaller l of the two.
-What shares enough is verified on the whole sets.
-
-Equal sets form one class, so copies cost one row each. Components are built in
-rounds: first each class is held against one leader per shared n-gram, then the full
-join looks only at pairs of different components; a link inside a component cannot
-change it.
-
-N-grams are compared by 64-bit hashes of their words. Estimates come from counts
-that repeat inside a task; they steer the order and l, never the result.
+size - ceil(threshold * size) + l n-grams share at least l, and at the k-th shared
+one enough n-grams are left on both sides. A document gets the l of the least
+estimated cost: a larger one lengthens its prefix but asks for more shared n-grams,
+which pays where many documents share one n-gram each and not where they share whole
+passages. A pair must share as many as the smaller l of the two. What shares enough
+is verified on the whole sets.
+
+Equal texts form one class, so copies cost one narrow row each. Links are found in
+two rounds: first each class is held against one leader per shared n-gram, the class
+in which it comes earliest, which is the original where there is one; then the full
+join looks only at pairs of different components, as a link inside a component
+cannot change it.
+
+N-grams are compared by 64-bit hashes of their words, texts by 128 bits. Estimates
+come from counts that repeat inside a task; they steer the order and l, never the
+result. Bitmaps of fixed size only save work.
 
 Defined results: a text without words, or null, has an empty set and is its own
 component; fewer words than n make one n-gram of them all; equal rows share a
@@ -27,20 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from webstrata.llm._components import components
-from webstrata.llm._io import stored
+from webstrata.llm._io import most_frequent, stored
 from webstrata.llm._text import LOWER, SPACED, Counts, column, flat, list_array, look_up, mix, slices, window_hashes, word_hashes, words
 
 MOST_MATCHES = 8
-SKETCH_BITS = 27
+FEW_PAIRS = 1 << 17
+#: N-grams of more documents than this are taken to come from a shared passage.
+LIGHT = 64
+#: Bitmaps of rows and of n-grams: 8 and 16 MB at any size.
+ROW_BITS, OFTEN_BITS = 26, 27
 
 
-def sets_of(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes sorted by text and hash, the text of each, and each text's number."""
+def sets_of(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes, sorted, text after text, and each text's number."""
     data, offs = flat(texts)
     data = LOWER[data]
     s, e, by = words(data, offs, SPACED)
@@ -56,23 +63,15 @@ def sets_of(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.nda
     if len(few):
         own = np.array([window_hashes(h[by[i] : by[i + 1]], int(size[i]))[0] for i in few], np.uint64)
         doc, grams = np.concatenate([doc, few]), np.concatenate([grams, own])
-    order = np.lexsort((grams, doc))
-    doc, grams = doc[order], grams[order]
+        order = np.argsort(doc, kind="stable")
+        doc, grams = doc[order], grams[order]
+    cut = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        if j - i > 1:
+            grams[i:j].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
-    doc, grams = doc[new], grams[new]
-    return grams, doc, np.bincount(doc, minlength=n_docs).astype(np.int64)
-
-
-def signatures(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set."""
-    ends = np.cumsum(sizes)
-    with np.errstate(over="ignore"):
-        out = []
-        for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(salt)), dtype=np.uint64)])
-            out.append(mix(sums[ends] - sums[ends - sizes] + sizes.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+    return grams[new], np.bincount(doc[new], minlength=n_docs).astype(np.int64)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -81,22 +80,35 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.where(size > 0, size - -(-t * size // 1000) + 1, 0)
 
 
-def prefixes(grams: np.ndarray, doc: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix n-grams by document, their number, and each document's l."""
+def prefixes(grams: np.ndarray, sizes: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix n-grams by document, their number, and each document's l.
+
+    Cost of an l: the rows scanned, and a price for each document that may be
+    verified. N-grams of many documents are taken to come from one passage, so the
+    same documents share them and a larger l spares none; those of few documents
+    come from different ones.
+    """
     at, known = look_up(heavy, grams)
     cost = np.where(known, heavy_n[at] if len(heavy) else 0, 0).astype(np.int64)
-    order = np.lexsort((mix(grams), cost, doc))
+    key = (np.minimum(cost, (1 << 16) - 1).astype(np.uint64) << np.uint64(48)) | (mix(grams) >> np.uint64(16))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    order = np.arange(len(grams))
+    for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+        if j - i > 1:
+            order[i:j] = i + np.argsort(key[i:j], kind="stable")
     grams, cost = grams[order], cost[order]
-    starts = np.cumsum(sizes) - sizes
-    sums = np.concatenate([[0], np.cumsum(cost)])
+    sums, light = (np.concatenate([[0], np.cumsum(x)]) for x in (cost, np.where(cost <= LIGHT, cost, 0)))
     p = prefix_length(sizes, threshold)
     best, ell = np.full(len(sizes), np.inf), np.ones(len(sizes), np.int64)
     need = -(-round(threshold * 1000) * sizes // 1000)
+    last = cost[np.minimum(starts + np.maximum(p, 1) - 1, len(cost) - 1)] if len(cost) else np.zeros(len(sizes), np.int64)
     for length in range(1, MOST_MATCHES + 1):
         fits = (p + length - 1 <= sizes) & (length <= np.maximum(need, 1))
         to = starts + np.minimum(p + length - 1, sizes)
         scan = (sums[to] - sums[starts]).astype(float)
-        price = scan + scan / length * (8 + sizes / 64.0) + length
+        verified = np.where(last > LIGHT, last, 0) + (light[to] - light[starts]) / length**2
+        price = scan + verified * (8 + sizes / 64.0) + length
         better = fits & (price < best)
         best[better], ell[better] = price[better], length
     take = np.minimum(p + ell - 1, sizes)
@@ -104,7 +116,23 @@ def prefixes(grams: np.ndarray, doc: np.ndarray, sizes: np.ndarray, heavy: np.nd
     return grams[pick], take, ell
 
 
-def _heavy(docs: DataFrame, n: int, keep: int, held: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def _only(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """Rows whose `place` the bitmap marks."""
+    place = np.asarray(column(batch, "place"))
+    return batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
+
+
+def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits, whatever the number of rows; they have one column of places below 2**bits."""
+    p = F.col(places.columns[0])
+    got = places.groupBy((p / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.pmod(p, F.lit(32768))).alias("bits")).toArrow().combine_chunks()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, b in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(b, np.uint8)
+    return out
+
+
+def _heavy(docs: DataFrame, n: int, keep: int, reps, held: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that most documents hold, as far as they repeat inside a task; `keep` at most, 16 bytes each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,23 +144,30 @@ def _heavy(docs: DataFrame, n: int, keep: int, held: int = 1 << 22) -> tuple[np.
             yield from got.drain()
 
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                got.add(*np.unique(sets_of(part.column(0), n)[0], return_counts=True))
+            for part in slices(_only(batch, reps.value), "text"):
+                got.add(*np.unique(sets_of(column(part, "text"), n)[0], return_counts=True))
                 if len(got) > held:
                     yield from out()
         yield from out()
 
-    top = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(keep).toArrow().combine_chunks()
+    counts = stored(docs.select("text", "place").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    top = most_frequent(counts, keep).toArrow().combine_chunks()
     h, c = np.asarray(top.column("h")).view(np.uint64), np.asarray(top.column("n"))
     order = np.argsort(h)
     return h[order], c[order]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose sets reach the threshold."""
+    """Of pairs (a, b, texts a1 a2 and b1 b2) those whose sets reach the threshold.
+
+    Few pairs, up to FEW_PAIRS rows of 48 bytes, are broadcast to the sets for the
+    first join; more are joined by shuffling both.
+    """
     t = round(threshold * 1000)
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    if pairs.count() <= FEW_PAIRS:
+        pairs = F.broadcast(pairs)
+    left = pairs.join(sets.select(F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("grams").alias("x")), ["a1", "a2"])
+    both = left.join(sets.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("grams").alias("y")), ["b1", "b2"]).select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +176,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(at, 1024)
                 x, y = part.column(2), part.column(3)
                 nx, ny = np.asarray(x.value_lengths()).astype(np.int64), np.asarray(y.value_lengths()).astype(np.int64)
-                vx, vy = np.asarray(x.flatten()), np.asarray(y.flatten())
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
-                v = np.concatenate([vx, vy])
+                v = np.concatenate([np.asarray(x.flatten()), np.asarray(y.flatten())])
                 order = np.lexsort((v, row))
                 v, row = v[order], row[order]
                 same = (v[1:] == v[:-1]) & (row[1:] == row[:-1])
@@ -158,93 +192,111 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, heavy: int = 1 << 18) -> DataFrame:
     """`key`, `n_shingles`, `component_id` and `text_hash` of every row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    share = spark.sparkContext.broadcast
+    t = round(threshold * 1000)
+    # a place in the bitmap for every row: by key and text, so a class needs one of its rows only
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    docs = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text", F.octet_length("text"))})
+    docs = docs.withColumn("place", F.pmod(F.xxhash64("key", "t1"), F.lit(1 << ROW_BITS)))
     kind = docs.schema["key"].dataType.simpleString()
+    rows = stored(docs.select("key", "t1", "t2"))
+    classes = stored(rows.groupBy("t1", "t2").agg(F.min("key").alias("first")).withColumn("cid", F.monotonically_increasing_id()))
+    place = F.pmod(F.xxhash64("first", "t1"), F.lit(1 << ROW_BITS))
+    reps = share(_bitmap(classes.select(place.alias("p")), ROW_BITS))
+    table = share(_heavy(docs, n, heavy, reps))
 
-    # every row's set: size and signature
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # prefix n-grams found in more than one class, by a bitmap of their hashes
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Counts()
         for batch in batches:
-            for part in slices(batch, "text"):
-                grams, _, sizes = sets_of(column(part, "text"), n)
-                a, b = signatures(grams, sizes)
-                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(sizes), pa.array(a), pa.array(b), column(part, "text_hash")], ["key", "n", "s1", "s2", "text_hash"])
+            for part in slices(_only(batch, reps.value), "text"):
+                got.add(*np.unique(prefixes(*sets_of(column(part, "text"), n), *table.value, threshold)[0], return_counts=True))
+                if len(got) > 1 << 19:
+                    yield from got.drain()
+        yield from got.drain()
 
-    rows = stored(hashed.mapInArrow(sign, f"key {kind}, n long, s1 long, s2 long, text_hash long"))
-    classes = stored(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("key"), F.max("n").alias("n")).withColumn("cid", F.monotonically_increasing_id()))
-    table = spark.sparkContext.broadcast(_heavy(docs, n, heavy))
+    again = docs.select("text", "place").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    often = share(_bitmap(again.select(F.shiftrightunsigned("h", 64 - OFTEN_BITS).alias("p")), OFTEN_BITS))
 
-    # prefixes of one row of each class
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                grams, doc, sizes = sets_of(column(part, "text"), n)
-                a, b = signatures(grams, sizes)
-                pick, take, ell = prefixes(grams, doc, sizes, *table.value, threshold)
-                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(a), pa.array(b), pa.array(ell.astype(np.int16)), list_array(pa.array(pick.view(np.int64)), take)], ["key", "s1", "s2", "ell", "prefix"])
-
-    cuts = docs.mapInArrow(cut, f"key {kind}, s1 long, s2 long, ell short, prefix array<long>")
-    same = lambda x: (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col(x).eqNullSafe(F.col("first"))
-    of = classes.select("cid", F.col("n").cast("int").alias("n"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("key").alias("first"))
-    reps = cuts.join(of, same("key")).select("cid", "n", "ell", "prefix")
-    if rows.count() != rows.select("key").distinct().count():
-        reps = reps.dropDuplicates(["cid"])
-    w = Window.partitionBy("gram")
-    shared = stored(reps.select("cid", "n", "ell", F.explode("prefix").alias("gram")).withColumn("held", F.count(F.lit(1)).over(w)).where("held > 1").select("gram", "cid", "n", "ell"))
-
-    # the sets of all classes that share a prefix n-gram; others can't link
-    needed = shared.select("cid").distinct().join(of, "cid")
-    sketch = _sketch(needed.select("first"))
-    held = spark.sparkContext.broadcast(sketch)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.asarray(column(batch, "place"))
-            batch = batch.filter(pa.array((held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0))
-            for part in slices(batch, "text"):
-                grams, _, sizes = sets_of(column(part, "text"), n)
-                a, b = signatures(grams, sizes)
-                yield pa.RecordBatch.from_arrays([column(part, "key"), pa.array(a), pa.array(b), list_array(pa.array(grams.view(np.int64)), sizes)], ["key", "s1", "s2", "grams"])
-
-    all_sets = docs.withColumn("place", _place("key")).mapInArrow(whole, f"key {kind}, s1 long, s2 long, grams array<long>")
-    sets = all_sets.join(needed, same("key")).select("cid", "grams")
-    sets = stored(sets.dropDuplicates(["cid"]) if rows.count() != rows.select("key").distinct().count() else sets)
-
-    t = round(threshold * 1000)
-    fits = lambda x, y: (F.lit(t) * F.col(x) <= 1000 * F.col(y)) & (F.lit(t) * F.col(y) <= 1000 * F.col(x))
-    # one leader for each shared n-gram: links that gather most of every component
-    lead = F.first(F.struct("cid", "n")).over(w.orderBy(F.xxhash64("cid")))
-    led = shared.withColumn("lead", lead).select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b"), "n", F.col("lead.n").alias("m")).where(fits("n", "m") & (F.col("a") < F.col("b")))
-    tried = stored(led.select("a", "b").distinct())
-    links = stored(_verified(tried, sets, threshold))
+            for part in slices(_only(batch, reps.value), "text"):
+                grams, sizes = sets_of(column(part, "text"), n)
+                pick, take, ell = prefixes(grams, sizes, *table.value, threshold)
+                pos = np.arange(len(pick)) - np.repeat(np.cumsum(take) - take, take)
+                p = (pick >> np.uint64(64 - OFTEN_BITS)).astype(np.int64)
+                keep = (often.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+                of = np.repeat(np.arange(len(take)), take)[keep]
+                marks = pa.StructArray.from_arrays([pa.array(pick[keep].view(np.int64)), pa.array(pos[keep].astype(np.int32))], ["gram", "pos"])
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "key"), column(part, "t1"), column(part, "t2"), pa.array(sizes), pa.array(ell.astype(np.int16)), list_array(marks, np.bincount(of, minlength=len(take)))],
+                    ["key", "t1", "t2", "n", "ell", "marks"],
+                )
+
+    cuts = docs.select("key", "text", "t1", "t2", "place").mapInArrow(cut, f"key {kind}, t1 long, t2 long, n long, ell short, marks array<struct<gram:long,pos:int>>")
+    of = classes.select("cid", F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first")
+    same = (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("first"))
+    cuts = stored(cuts.join(of, same).select("cid", F.col("n").cast("int").alias("n"), "ell", "marks"))
+    repeated = cuts.count() != classes.count()
+    if repeated:  # rows that are equal in key and text
+        cuts = cuts.dropDuplicates(["cid"])
+    for b in (reps, table, often):
+        b.destroy()
+    by_gram = Window.partitionBy("gram")
+    shared = cuts.select("cid", "n", "ell", F.explode("marks").alias("m")).select("m.gram", "m.pos", "cid", "n", "ell")
+    # a row whose n-gram comes too late for the smallest set that fits can't be part of a link
+    held = F.count(F.lit(1)).over(by_gram)
+    small = F.greatest(F.min("n").over(by_gram).cast("long"), F.ceil(F.lit(t) * F.col("n") / 1000))
+    early = (1000 + t) * (F.col("n") - F.col("pos") + F.col("ell") - 1).cast("long") >= F.lit(t) * (F.col("n") + small)
+    shared = shared.withColumns({"held": held, "early": early}).where("held > 1 and early").withColumn("held", held).where("held > 1")
+    shared = stored(shared.select("gram", "pos", "cid", "n", "ell"))
+    texts = classes.select("cid", F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(texts.select(F.col("cid").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2")), "a")
+        return one.join(texts.select(F.col("cid").alias("b"), F.col("c1").alias("b1"), F.col("c2").alias("b2")), "b")
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """(t1, t2, grams): whole sets of the classes in pairs, and by chance of a few more."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid")
+        marked = share(_bitmap(needed.select(F.pmod(F.xxhash64("first", "c1"), F.lit(1 << ROW_BITS)).alias("p")), ROW_BITS))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(_only(batch, marked.value), "text"):
+                    grams, sizes = sets_of(column(part, "text"), n)
+                    yield pa.RecordBatch.from_arrays([column(part, "t1"), column(part, "t2"), list_array(pa.array(grams.view(np.int64)), sizes)], ["t1", "t2", "grams"])
+
+        got = docs.select("text", "t1", "t2", "place").mapInArrow(whole, "t1 long, t2 long, grams array<long>")
+        return got.dropDuplicates(["t1", "t2"]) if repeated else got
+
+    def fits(x: str, y: str, i: str, j: str, slack: Column) -> Column:
+        """Sizes that fit, and at the k-th shared n-gram enough left on both sides."""
+        sized = (F.lit(t) * F.col(x) <= 1000 * F.col(y)) & (F.lit(t) * F.col(y) <= 1000 * F.col(x))
+        left = F.least(F.col(x) - F.col(i), F.col(y) - F.col(j)) + slack
+        return sized & ((1000 + t) * left >= F.lit(t) * (F.col(x) + F.col(y)))
+
+    lead = F.first(F.struct("cid", "n", "pos", "ell")).over(by_gram.orderBy("pos", "n", "cid"))
+    led = shared.withColumn("lead", lead).select("cid", "n", "pos", "ell", F.col("lead.cid").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"), F.col("lead.ell").alias("l"))
+    led = led.where((F.col("cid") != F.col("a")) & fits("n", "m", "pos", "at", F.least("ell", "l") - 1))
+    tried = stored(led.select(F.least("cid", "a").alias("a"), F.greatest("cid", "a").alias("b")).distinct())
+    links = stored(_verified(with_texts(tried), sets(tried), threshold))
     comps = components(links)
     # the full join, between components
     labelled = shared.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    x, y = (labelled.select("gram", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), F.col("ell").alias(f"ell_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "ab")
-    met = x.join(y, "gram").where((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & fits("n_a", "n_b"))
+    x, y = (labelled.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "cid", "n", "pos", "ell", "comp")]) for s in "ab")
+    close = fits("n_a", "n_b", "pos_a", "pos_b", F.least("ell_a", "ell_b") - 1)
+    met = x.join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & close)
     enough = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("ell")).where("k >= ell").select("a", "b")
-    more = _verified(enough.join(tried, ["a", "b"], "left_anti"), sets, threshold)
-    comps = components(stored(links.union(more)))
-
-    whole_comps = classes.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("s1", "s2", "key", F.coalesce("comp", "cid").alias("comp"))
-    ids = whole_comps.groupBy("comp").agg(F.min("key").alias("component_id"))
-    final = whole_comps.join(ids, "comp").select("s1", "s2", "component_id", F.lit(True).alias("known"))
-    out = rows.where("n > 0").join(final, ["s1", "s2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "text_hash")
-    return out.unionByName(rows.where("n = 0").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("key").alias("component_id"), "text_hash"))
-
+    left = stored(enough.join(tried, ["a", "b"], "left_anti"))
+    comps = components(stored(links.union(_verified(with_texts(left), sets(left), threshold))))
 
-def _place(name: str):
-    return F.pmod(F.xxhash64(F.col(name)), F.lit(1 << SKETCH_BITS))
-
-
-def _sketch(keys: DataFrame) -> np.ndarray:
-    """A bitmap of 2**SKETCH_BITS bits (16 MB at any size) of hashed keys; it only saves work."""
-    place = keys.select(_place(keys.columns[0]).alias("p"))
-    got = place.groupBy((F.col("p") / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).collect()
-    out = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
-    for r in got:
-        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    sized = classes.join(cuts.select("cid", "n"), "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("t1", "t2", "first", "n", F.coalesce("comp", "cid").alias("comp"))
+    ids = sized.groupBy("comp").agg(F.min("first").alias("component_id"))
+    final = sized.join(ids, "comp").select("t1", "t2", F.col("n").cast("long").alias("n"), "component_id")
+    out = rows.join(final, ["t1", "t2"], "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("t1").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -255,11 +307,12 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     """
     found = similarity_classes(docs, key=key, text=text, **options).where(F.col("component_id").eqNullSafe(F.col(f"`{key}`")))
     keep = stored(found.groupBy(F.col(f"`{key}`").alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__size")))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash"))
+    here = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (here == F.col("__hash"))
     rows = docs.join(keep.select("__key", "__hash"), same, "left_semi")
-    if keep.where("__n > 1 and __size > 0").limit(1).count() == 0:
+    many = keep.where("__n > 1 and __size > 0").select("__key", "__hash")
+    if many.limit(1).count() == 0:
         return rows
-    again = rows.join(keep.where("__n > 1 and __size > 0").select("__key", "__hash"), same, "left_semi")
-    single = rows.join(keep.where("__n > 1 and __size > 0").select("__key", "__hash"), same, "left_anti")
-    order = Window.partitionBy(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))).orderBy(F.lit(1))
-    return single.unionByName(again.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n"))
+    order = Window.partitionBy(F.col(f"`{key}`"), here).orderBy(F.lit(1))
+    again = rows.join(many, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return rows.join(many, same, "left_anti").unionByName(again)
