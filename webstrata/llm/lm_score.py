@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._io import stored
+from webstrata.llm._io import most_frequent, stored
 from webstrata.llm._text import LOWER, SPACED, Counts, column, flat, list_array, look_up, mix, slices, word_hashes, words
 
 END = np.uint64(0x5EED0FE4D0FE4D01)
@@ -128,9 +128,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _top(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n rows with the largest counts, in that order."""
-    got = table.orderBy(F.desc("n"), "h").limit(n).toArrow().combine_chunks()
-    return np.asarray(got.column("h")).view(np.uint64), np.asarray(got.column("n"))
+    """The n rows with the largest counts, or a few less, in that order."""
+    got = most_frequent(table, n).toArrow().combine_chunks()
+    h, c = np.asarray(got.column("h")), np.asarray(got.column("n"))
+    order = np.lexsort((h, -c))
+    return h[order].view(np.uint64), c[order]
 
 
 def train(docs: DataFrame, *, text: str = "text", unigrams: int = 1 << 20, bigrams: int = 1 << 20, context_words: int = 4096, log_bits: int = 28, held: int = 1 << 20) -> Model:
@@ -169,7 +171,7 @@ def train(docs: DataFrame, *, text: str = "text", unigrams: int = 1 << 20, bigra
                     yield from got.drain()
         yield from got.drain()
 
-    pair_ids, pair_n = _top(texts.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), bigrams)
+    pair_ids, pair_n = _top(stored(texts.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))), bigrams)
     bloom = LogBloom(log_bits)
     bloom.add(top, top_n)
     if len(pair_ids):

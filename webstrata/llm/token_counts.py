@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._io import stored
+from webstrata.llm._io import most_frequent, stored
 from webstrata.llm._text import column, flat, list_array, slices, word_hashes
 
 PLAIN = 0x250
@@ -221,11 +221,11 @@ def count_pieces(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.mapInArrow(scan, "h long, n long, pieces int")
 
 
-def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", frequent: int = 1 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", frequent: int = 1 << 18) -> DataFrame:
     """`key`, `n_bytes`, `n_tokens` of every row. frequent: entries of the broadcast table, 12 bytes each."""
     spark = docs.sparkSession
     table = stored(count_pieces(distinct_pretokens(docs, path, text=text), path))
-    top = table.orderBy(F.desc("n"), "h").limit(frequent).select("h", "pieces").toArrow().combine_chunks()
+    top = most_frequent(table, frequent).select("h", "pieces").toArrow().combine_chunks()
     th, tp = np.asarray(top.column("h")), np.asarray(top.column("pieces"))
     order = np.argsort(th)
     shared = spark.sparkContext.broadcast((th[order], tp[order].astype(np.int32)))
