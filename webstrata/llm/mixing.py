@@ -33,7 +33,7 @@ from webstrata.llm._text import SPACED, column, flat, mix, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
-RANKED = 50_000
+RANKED = 4_096
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
