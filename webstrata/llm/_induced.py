@@ -55,21 +55,23 @@ class DiskQueue:
                     q[k] = (at, len(item[0]))
         self.held = 0
 
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """The next run of tuples of a symbol."""
+    def pop(self, symbol: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray] | None:
+        """The next tuples of a symbol, about `most` of them."""
         q = self.queues.get(symbol)
         if not q:
             return None
-        item = q.popleft()
-        if isinstance(item[0], np.ndarray):
-            self.held -= len(item[0])
-            return item
-        at, n = item
-        self.file.seek(at)
-        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(4 * n), np.int32)
-
-    def symbols(self) -> list[int]:
-        return [c for c, q in self.queues.items() if q]
+        got, n = [], 0
+        while q and n < most:
+            item = q.popleft()
+            if isinstance(item[0], np.ndarray):
+                self.held -= len(item[0])
+            else:
+                at, size = item
+                self.file.seek(at)
+                item = np.frombuffer(self.file.read(8 * size), np.int64), np.frombuffer(self.file.read(4 * size), np.int32)
+            got.append(item)
+            n += len(item[0])
+        return got[0] if len(got) == 1 else (np.concatenate([x for x, _ in got]), np.concatenate([v for _, v in got]))
 
     def close(self) -> None:
         if self.file is not None:
@@ -91,12 +93,34 @@ def types_of(text: np.ndarray, out: np.ndarray) -> None:
         after = bool(out[begin])
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+def _packed(text: np.ndarray) -> np.ndarray | None:
+    """Six symbols of the text in one number, from each place on; None where symbols need more than ten bits."""
+    if not len(text) or int(text.max()) >= 1023:
+        return None
+    n = len(text)
+    out = np.zeros(n, np.uint64)
+    for k in range(6):
+        out <<= np.uint64(10)
+        out[: n - k] |= text[k:].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, packed: np.ndarray | None = None) -> np.ndarray:
     """Common prefixes of pairs of suffixes, up to cap."""
     n, out = len(text), np.zeros(len(a), np.int32)
     on = np.arange(len(a))
+    if packed is not None:
+        # six symbols at a time; a place beyond the end differs from all others
+        while len(on):
+            x, y = a[on] + out[on], b[on] + out[on]
+            inside = (x < n) & (y < n)
+            same = inside & (packed[np.minimum(x, n - 1)] == packed[np.minimum(y, n - 1)]) & (np.maximum(x, y) + 6 <= n)
+            out[on[same]] += 6
+            on = on[same]
+            on = on[out[on] < cap]
+        on = np.flatnonzero(out < cap)
     while len(on):
-        step = 8
+        step = 6 if packed is not None else 8
         d = out[on]
         x, y = a[on] + d, b[on] + d
         same = np.ones(len(on), bool)
@@ -105,9 +129,9 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndar
             inside = (x + k < n) & (y + k < n)
             same &= inside & (text[np.minimum(x + k, n - 1)] == text[np.minimum(y + k, n - 1)])
             more += same
-        out[on] = np.minimum(d + more, cap)
+        out[on] = d + more
         on = on[same & (out[on] < cap)]
-    return out
+    return np.minimum(out, cap)
 
 
 class Floor:
@@ -212,7 +236,7 @@ def suffix_array(text: np.ndarray, cap: int = 200, folder: str | None = None, me
         seeds = star[order]
         lcp = np.zeros(len(seeds), np.int32)
         if len(seeds) > 1:
-            lcp[1:] = _common(text, seeds[:-1], seeds[1:], cap)
+            lcp[1:] = _common(text, seeds[:-1], seeds[1:], cap, _packed(text) if n <= in_memory else None)
         # upwards; the last position is induced by the end of the text, before all others of its symbol
         lefts: list[tuple[np.ndarray, np.ndarray]] = []
         _sweep(text, is_s, cap, tmp, memory, seeds, lcp, True, n - 1, lambda p, v: lefts.append((p, v)))

@@ -40,84 +40,94 @@ from webstrata.llm._io import stored
 from webstrata.llm._text import Counts, column, flat, list_array, mix, powers, slices
 
 WIDTH, GRAM = 200, 64
-MAP_BITS = 28
-PIECE = 4 << 20
+#: Bitmaps of anchors, places and texts: 16, 8 and 8 MB at any size.
+ANCHOR_BITS, PLACE_BITS, TEXT_BITS = 27, 26, 26
+PIECE, SLICE = 1 << 19, 1 << 20
 
 
 def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
     """Least of each w neighbours, by blocks of w: the end of one and the beginning of the next."""
     n = len(v) - w + 1
-    pad = -len(v) % w
-    full = np.concatenate([v, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(full, axis=1).ravel()
-    back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    full = np.full(len(v) + -len(v) % w, np.iinfo(np.uint64).max, np.uint64)
+    full[: len(v)] = v
+    ahead = np.minimum.accumulate(full.reshape(-1, w), axis=1).ravel()
+    back = np.minimum.accumulate(full[::-1].reshape(-1, w), axis=1).ravel()[::-1]
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def stretches(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Stretches of all texts: text, start in it, windows, hash of the anchor, hash of the bytes."""
-    parts: list[tuple[np.ndarray, ...]] = []
-    # runs of whole texts of at most PIECE bytes, or pieces of one text that overlap by width - 1
-    todo: list[tuple[int, int, int]] = []
-    i, n_docs = 0, len(offs) - 1
-    while i < n_docs:
+def _pieces(offs: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of at most PIECE bytes, or pieces of one longer text that overlap by width - 1."""
+    i, n = 0, len(offs) - 1
+    while i < n:
         if offs[i + 1] - offs[i] > PIECE:
             for at in range(int(offs[i]), int(offs[i + 1]) - width + 1, PIECE):
-                todo.append((at, min(at + PIECE + width - 1, int(offs[i + 1])), i))
+                yield at, min(at + PIECE + width - 1, int(offs[i + 1]))
             i += 1
-            continue
-        j = i + 1
-        while j < n_docs and offs[j + 1] - offs[i] <= PIECE:
-            j += 1
-        todo.append((int(offs[i]), int(offs[j]), i))
-        i = j
+        else:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE, "right")) - 1)
+            yield int(offs[i]), int(offs[j])
+            i = j
+
+
+def stretches(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> dict[str, np.ndarray]:
+    """Stretches of all texts: text, start in it, windows, hash of the anchor, hash of the bytes."""
+    parts: list[tuple[np.ndarray, ...]] = []
     low = np.uint64((1 << 24) - 1)
     with np.errstate(over="ignore"):
-        for a, b, _ in todo:
-            if b - a < width:
+        for a, b in _pieces(offs, width):
+            n = b - a - width + 1
+            if n <= 0:
                 continue
-            seg = data[a:b]
-            up, down = powers(len(seg) + 1)
-            sums = np.zeros(len(seg) + 1, np.uint64)
-            np.cumsum((seg.astype(np.uint64) + np.uint64(1)) * up[: len(seg)], out=sums[1:])
-            grams = mix((sums[gram:] - sums[:-gram]) * down[: len(seg) - gram + 1])
-            least = _slide_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
-            doc = np.searchsorted(offs, np.arange(a, a + len(least)), "right") - 1 if offs[-1] < 1 << 16 else np.repeat(np.arange(n_docs), np.diff(np.clip(offs, a, a + len(least))))
-            s = np.flatnonzero(np.arange(a, a + len(least)) + width <= offs[doc + 1])
-            if not len(s):
+            up, down = powers(b - a + 1)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.multiply(data[a:b] + np.uint64(1), up[: b - a], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            grams = sums[gram:] - sums[:-gram]
+            grams *= down[: len(grams)]
+            grams ^= grams >> np.uint64(29)
+            grams *= np.uint64(0xBF58476D1CE4E5B9)
+            key = grams & ~low
+            key |= np.arange(len(grams), dtype=np.uint64)
+            least = _slide_min(key, width - gram + 1)
+            # windows that lie within one text: for each text a run of starts
+            first_doc, last_doc = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+            docs = np.arange(first_doc, last_doc)
+            lo, hi = np.maximum(offs[docs], a) - a, np.minimum(offs[docs + 1], b) - a - width + 1
+            docs, lo, hi = docs[hi > lo], lo[hi > lo], hi[hi > lo]
+            if not len(docs):
                 continue
-            least, doc = least[s] & low, doc[s]
-            new = np.ones(len(s), bool)
-            new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            windows = np.diff(np.append(first, len(s)))
-            begin = s[first]
-            end = begin + windows + width - 1
-            body = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-            parts.append((doc[first], begin + a - offs[doc[first]], windows, grams[least[first].astype(np.int64)], body))
+            change = np.flatnonzero(least[1:] != least[:-1]) + 1
+            of = np.searchsorted(lo, change, "right") - 1
+            ok = (of >= 0) & (change < hi[np.maximum(of, 0)]) & (change > lo[np.maximum(of, 0)])
+            begin = np.concatenate([lo, change[ok]])
+            doc = np.concatenate([np.arange(len(lo)), of[ok]])
+            order = np.argsort(begin, kind="stable")
+            begin, doc = begin[order], doc[order]
+            end = np.append(begin[1:], hi[-1])
+            end = np.minimum(end, hi[doc])
+            windows = end - begin
+            stop = end + width - 1
+            body = mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
+            parts.append((docs[doc], begin + a - offs[docs[doc]], windows, mix(grams[(least[begin] & low).astype(np.int64)]), body))
     names = ("doc", "start", "windows", "anchor", "body")
     if not parts:
         return {k: np.zeros(0, np.uint64 if k in ("anchor", "body") else np.int64) for k in names}
     return {k: np.concatenate([p[i] for p in parts]) for i, k in enumerate(names)}
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """2**MAP_BITS bits, at any size; `hashes` has one column of longs."""
-    p = hashes.select(_place(F.col(hashes.columns[0])).alias("p"))
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, marked by the upper bits of the hashes; `hashes` has one column of longs."""
+    p = hashes.select(F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - bits).alias("p"))
     got = p.groupBy((F.col("p") / 32768).cast("long").alias("k")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768))).alias("bits")).toArrow().combine_chunks()
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    for k, bits in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, b in zip(got.column("k").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[k * 4096 : (k + 1) * 4096] = np.frombuffer(b, np.uint8)
     return out
 
 
-def _place(h):
-    return F.shiftrightunsigned(h, 64 - MAP_BITS)
-
-
-def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+def _in_map(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    p = (h >> np.uint64(64 - (len(marks).bit_length() + 2))).astype(np.int64)
+    return (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
 def sort_shard(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -164,7 +174,7 @@ def sort_shard(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(t1[x]), pa.array(t2[x]), pa.array(start[x] + inside[first[at : at + len(x)]]), pa.array(run[at : at + len(x)] + width - 1)], ["t1", "t2", "start", "length"])
 
 
-def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: int = GRAM, shard_bytes: int = 2 << 20) -> DataFrame:
+def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: int = GRAM, shard_bytes: int = 1 << 20) -> DataFrame:
     """(t1, t2, spans): for each text that holds a repeat, by the text's hash, the maximal repeated runs (start, length)."""
     spark = docs.sparkSession
     texts = with_ids(docs.select(F.col(f"`{text}`").alias("text")), "text").where(F.octet_length("text") >= width)
@@ -172,7 +182,7 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = Counts()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = stretches(*flat(column(part, "text")), width, gram)
                 got.add(*np.unique(s["anchor"], return_counts=True))
                 if len(got) > 1 << 20:
@@ -180,14 +190,16 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
         yield from got.drain()
 
     often = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marks = spark.sparkContext.broadcast(_bitmap(often))
+    marks = spark.sparkContext.broadcast(_bitmap(often, ANCHOR_BITS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = stretches(*flat(column(part, "text")), width, gram)
                 keep = _in_map(marks.value, s["anchor"])
                 d = s["doc"][keep]
+                if not len(d):
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s["anchor"][keep].view(np.int64)), pa.array(s["body"][keep].view(np.int64)), pa.array(np.asarray(column(part, "t1"))[d]), pa.array(np.asarray(column(part, "t2"))[d]), pa.array(s["start"][keep].astype(np.int64)), pa.array(s["windows"][keep].astype(np.int32))],
                     ["anchor", "body", "t1", "t2", "start", "windows"],
@@ -200,15 +212,15 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
     twice = bodies.where("n > 1").select("anchor", "body")
     whole = found.join(twice, ["anchor", "body"]).select("t1", "t2", "start", (F.col("windows") + (width - 1)).cast("long").alias("length"))
     # anchors with different stretches: one copy of each goes to the anchor's shard
-    mixed = bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
     ones = stored(bodies.join(mixed, "anchor").select("anchor", "one.*"))
-    refs = spark.sparkContext.broadcast(_bitmap(ones.select(_ref_col())))
+    refs = spark.sparkContext.broadcast(_bitmap(ones.select(_ref_col()), PLACE_BITS))
     n_bytes = ones.count() * (width + 68)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // shard_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offs = flat(column(part, "text"))
                 s = stretches(data, offs, width, gram)
                 t1, t2 = np.asarray(column(part, "t1"))[s["doc"]], np.asarray(column(part, "t2"))[s["doc"]]
@@ -224,7 +236,10 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
     pieces = texts.mapInArrow(cut, "anchor long, t1 long, t2 long, start long, bytes binary").join(ones, ["anchor", "t1", "t2", "start"], "left_semi")
     dealt = pieces.repartition(shards, "anchor")
     partly = dealt.mapInArrow(lambda b: sort_shard(b, width), "t1 long, t2 long, start long, length long")
-    return whole.unionByName(partly).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    spans = stored(whole.unionByName(partly).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("spans")))
+    marks.destroy()
+    refs.destroy()
+    return spans
 
 
 def _ref(tid: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -244,8 +259,8 @@ def with_ids(docs: DataFrame, text: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, keep_bytes: bool = True, **options) -> DataFrame:
     """`key`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, and the bytes left as `kept`, of every row."""
     spark = docs.sparkSession
-    spans = stored(repeats(docs, text=text, width=width, **options))
-    marks = spark.sparkContext.broadcast(_bitmap(spans.select("t1")))
+    spans = repeats(docs, text=text, width=width, **options)
+    marks = spark.sparkContext.broadcast(_bitmap(spans.select("t1"), TEXT_BITS))
     rows = with_ids(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "text")
     kind = rows.schema["key"].dataType.simpleString()
     fields = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
@@ -280,7 +295,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(~_in_map(marks.value, np.asarray(column(batch, "t1")).view(np.uint64))))
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield out(part, column(part, "text"), [None] * part.num_rows)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +304,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield out(part, column(part, "text"), column(part, "spans").to_pylist())
 
     some = rows.mapInArrow(marked, rows.schema).join(spans, ["t1", "t2"], "left").select("key", "text", "spans")
