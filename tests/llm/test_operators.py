@@ -163,6 +163,25 @@ def test_lm(spark, docs, texts, empty):
     assert lm_score.score(empty, model).count() == 0
 
 
+def test_lm_counts_all_pairs(docs, texts):
+    """Every pair of the training texts counts, whatever is broadcast."""
+    c, pairs = {}, {}
+    toks = {i: [*SPACED.findall(low(t)), ""] for i, t in enumerate(texts)}
+    for i, ts in toks.items():
+        if i % 5:
+            for v, w in zip(["", *ts], ts, strict=False):
+                c[w] = c.get(w, 0) + 1
+                pairs[v, w] = pairs.get((v, w), 0) + 1
+    under = sum(c.values()) + 0.1 * (len(c) + 1)
+    q = lambda n: float(lm_score.quantised(np.array([n]))[0])
+    for top, bigrams in ((4, 4), (1 << 10, 1 << 10)):
+        model = lm_score.train(docs.where("doc_id % 5 <> 0"), unigrams=top, bigrams=bigrams, log_bits=20)
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model).collect()}
+        for i, ts in toks.items():
+            want = sum(math.log10((q(pairs.get((v, w), 0)) + 1000 * (q(c.get(w, 0)) + 0.1) / under) / (q(c.get(v, 0)) + 1000)) for v, w in zip(["", *ts], ts, strict=False))
+            assert got[i] == pytest.approx(want, rel=1e-4), i
+
+
 def test_log_bloom():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 63, 2000).astype(np.uint64), rng.integers(1, 10_000, 2000)

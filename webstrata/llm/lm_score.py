@@ -1,19 +1,21 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training gathers counts over all training texts: of every token, and of every pair
-of neighbours among the `context_words` most frequent tokens. The most frequent
-`unigrams` tokens and `bigrams` pairs go into a Bloom filter as quantised counts: an
-n-gram with level q is inserted q times, as (n-gram, 1) to (n-gram, q), and a
-lookup probes (n-gram, 1), (n-gram, 2), ... until one is missing. The filter has a
-fixed number of bits, so what is broadcast has a bound at any corpus size; with a
-larger corpus the rarest n-grams fall out and share the mass of the tail.
-
-The score is log10 P(text), P a bigram model: (c(v,w) + mu * p(w)) / (C(v) + mu),
-with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); tokens that aren't in the filter share
-the tail's counts equally. All c and C come from the filter.
+Training counts every token and every pair of neighbours of all training texts. The
+most frequent `bigrams` pairs go into a Bloom filter as quantised counts: a pair with
+level q is inserted q times, as (pair, 1) to (pair, q), and a lookup probes (pair, 1),
+(pair, 2), ... until one is missing. The filter has a fixed number of bits, so what is
+broadcast has a bound at any corpus size; the counts of all pairs that aren't found in
+it come by a join on the pair's hash, quantised in the same way.
+
+The score is log10 P(text), P a bigram model: (c(v,w) + mu * p(w)) / (c(v) + mu), with
+p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)) and all c quantised; a text begins with an end,
+so c(v) is the number of pairs that begin with v as well. Its logarithm is taken apart:
+log10 p(w) + log10(mu / (c(v) + mu)) is a sum over tokens, and log10(1 + c(v,w) /
+(mu * p(w))), the gain of a pair, is 0 for pairs not seen in training.
 
 The base score needs exact counts: those of the tokens in the broadcast table of
-`unigrams` entries come from there, all others by a join on the token's hash.
+`unigrams` entries come from there, all others by a join on the token's hash. What
+tokens add to the score comes the same way.
 
 Tokens are words between white space, ASCII letters in lower case, then one end per
 text. Defined results: null and empty texts have the end alone; a null key is held
@@ -37,7 +39,9 @@ from webstrata.llm._text import LOWER, SPACED, Counts, column, flat, list_array,
 END = np.uint64(0x5EED0FE4D0FE4D01)
 ADDED = 0.1
 MU = 1000.0
-_BIGRAM, _CONTEXT = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_BIGRAM = np.uint64(0xA24BAED4963EE407)
+#: Tokens whose pairs are counted at once.
+RUN = 1 << 21
 
 
 def thresholds(ratio: float = 1.2, most: float = 1e15) -> np.ndarray:
@@ -53,6 +57,11 @@ LEVELS = thresholds()
 MEANS = np.concatenate([[0.0], np.append((LEVELS[:-1] + LEVELS[1:] - 1) / 2, LEVELS[-1])])
 
 
+def quantised(counts: np.ndarray) -> np.ndarray:
+    """Counts as the filter would give them."""
+    return MEANS[np.searchsorted(LEVELS, counts, "right")]
+
+
 class LogBloom:
     """Quantised counts in a Bloom filter of 2**log_bits bits with n_hashes bits per entry."""
 
@@ -99,16 +108,19 @@ def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """bloom: what scores come from. top, top_n: exact counts of the most frequent tokens. counts: of all tokens."""
+    """top, top_n: exact counts of the most frequent tokens. bloom: the most frequent pairs.
+
+    counts: (h, n) of all tokens. pairs: (h, n, w) of all pairs, w the level of the second
+    token's count if that is in top, else its hash.
+    """
 
     counts: DataFrame
+    pairs: DataFrame
     n: int
     v: int
     top: np.ndarray
     top_n: np.ndarray
-    context: np.ndarray
     bloom: LogBloom
-    tail: float
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +147,8 @@ def _top(table: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order].view(np.uint64), c[order]
 
 
-def train(docs: DataFrame, *, text: str = "text", unigrams: int = 1 << 20, bigrams: int = 1 << 20, context_words: int = 4096, log_bits: int = 28, held: int = 1 << 20) -> Model:
-    """Counts over all rows given; two passes."""
+def train(docs: DataFrame, *, text: str = "text", unigrams: int = 1 << 20, bigrams: int = 1 << 22, context_words: int | None = None, log_bits: int = 28, held: int = 1 << 20) -> Model:
+    """Counts over all rows given; two passes. `unigrams` and `bigrams` say what is broadcast; `context_words` limits nothing any more."""
     texts = docs.select(F.col(f"`{text}`").alias("text"))
     spark = docs.sparkSession
 
@@ -152,47 +164,86 @@ def train(docs: DataFrame, *, text: str = "text", unigrams: int = 1 << 20, bigra
     counts = stored(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top, top_n = _top(counts, unigrams)
-    context = np.sort(top[:context_words])
-    size = len(context)
-    shared = spark.sparkContext.broadcast(context)
+    order = np.argsort(top)
+    top, top_n = top[order], top_n[order]
+    shared = spark.sparkContext.broadcast((top, np.searchsorted(LEVELS, top_n, "right").astype(np.int16)))
+
+    def counted(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        known, level = shared.value
+        second = np.concatenate(gathered)
+        # each part is whole texts, so the token before its first one is an end
+        before = np.concatenate([[END], second[:-1]])
+        keys, at, num = np.unique(bigram_key(before, second), return_index=True, return_counts=True)
+        second = second[at]
+        at, in_top = look_up(known, second)
+        w = second.view(np.int64).copy()
+        w[in_top] = level[at[in_top]]
+        for i in range(0, len(keys), 1 << 16):
+            j = i + (1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i:j].view(np.int64)), pa.array(num[i:j]), pa.array(w[i:j])], ["h", "n", "w"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Counts()
+        gathered, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                h, _, _ = tokens(part.column(0))
-                at, known = look_up(shared.value, h)
-                before = np.concatenate([[END], h[:-1]])
-                at0, known0 = look_up(shared.value, before[:1])
-                a, ka = np.concatenate([at0, at[:-1]]), np.concatenate([known0, known[:-1]])
-                both = ka & known
-                got.add(*np.unique((a[both] * size + at[both]).astype(np.uint64), return_counts=True))
-                if len(got) > held:
-                    yield from got.drain()
-        yield from got.drain()
-
-    pair_ids, pair_n = _top(stored(texts.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))), bigrams)
+                gathered.append(tokens(part.column(0))[0])
+                size += len(gathered[-1])
+                if size > RUN:
+                    yield from counted(gathered)
+                    gathered, size = [], 0
+        if size:
+            yield from counted(gathered)
+
+    table = stored(texts.mapInArrow(pairs, "h long, n long, w long").groupBy("h").agg(F.sum("n").alias("n"), F.max("w").alias("w")))
     bloom = LogBloom(log_bits)
-    bloom.add(top, top_n)
-    if len(pair_ids):
-        first, second = (pair_ids // np.uint64(size)).astype(np.int64), (pair_ids % np.uint64(size)).astype(np.int64)
-        bloom.add(bigram_key(context[first], context[second]), pair_n)
-        total = np.bincount(first, pair_n, size)
-        bloom.add((context ^ _CONTEXT)[total > 0], total[total > 0])
-    rest = v - len(top)
-    tail = (n - int(top_n.sum())) / (rest + 1)
-    order = np.argsort(top)
-    return Model(counts, n, v, top[order], top_n[order], context, bloom, tail)
+    bloom.add(*_top(table.select("h", "n"), bigrams))
+    return Model(counts, table, n, v, top, top_n, bloom)
+
+
+def _token_part(c: np.ndarray, under: float) -> np.ndarray:
+    """What a token with quantised count c adds to the score, as second and as first of a pair."""
+    return np.log10((c + ADDED) / under) + np.log10(MU / (c + MU))
+
+
+def _gain(c2: np.ndarray, c1: np.ndarray, under: float) -> np.ndarray:
+    return np.log10(1 + c2 * under / (MU * (c1 + ADDED)))
+
+
+def _parts(model: Model, under: float) -> DataFrame:
+    """(h, c, g): exact count and part of the score of each token, 0 and gain of each pair."""
+
+    def of_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = np.asarray(column(batch, "n"))
+            yield pa.RecordBatch.from_arrays([column(batch, "h"), column(batch, "n"), pa.array(_token_part(quantised(c), under))], ["h", "c", "g"])
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c1 = np.asarray(column(batch, "c1"))
+            c1 = np.where(np.asarray(column(batch, "leveled")), MEANS[np.minimum(c1, len(MEANS) - 1)], quantised(c1))
+            gain = _gain(quantised(np.asarray(column(batch, "n"))), c1, under)
+            yield pa.RecordBatch.from_arrays([column(batch, "h"), pa.array(np.zeros(batch.num_rows, np.int64)), pa.array(gain)], ["h", "c", "g"])
+
+    leveled = F.col("w").between(1, len(LEVELS))
+    common = model.pairs.where(leveled).select("h", "n", F.col("w").alias("c1"), F.lit(True).alias("leveled"))
+    rare = model.pairs.where(~leveled).join(model.counts.select(F.col("h").alias("w"), F.col("n").alias("c1")), "w").select("h", "n", "c1", F.lit(False).alias("leveled"))
+    kind = "h long, c long, g double"
+    return model.counts.mapInArrow(of_tokens, kind).unionByName(common.mapInArrow(of_pairs, kind)).unionByName(rare.mapInArrow(of_pairs, kind))
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.top, model.top_n, model.context, model.bloom, model.tail))
+    shared = docs.sparkSession.sparkContext.broadcast((model.top, model.top_n, model.bloom))
     n, v = model.n, model.v
     under = n + ADDED * (v + 1)
 
+    def freqs(doc: np.ndarray, x: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, hash and number of each kind in each text."""
+        ids, freq = np.unique(doc * np.int64(max(1, len(kinds))) + x, return_counts=True)
+        return ids // max(1, len(kinds)), kinds[ids % max(1, len(kinds))].view(np.int64), freq
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, top_n, context, bloom, tail = shared.value
+        top, top_n, bloom = shared.value
         for batch in batches:
             for part in slices(batch, text):
                 h, doc, size = tokens(column(part, text))
@@ -203,32 +254,25 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
                 add = np.where(known, np.log10((exact + ADDED) / under), 0.0)
                 base = np.bincount(doc, add[inv], n_docs)
                 n_known = np.bincount(doc, known[inv], n_docs).astype(np.int64)
-                # the model, from the filter alone
-                c1 = bloom.get(kinds)
-                p1 = (np.where(c1 > 0, c1, tail) + ADDED) / under
-                ctx_at, ctx = look_up(context, kinds)
-                ctx_n = np.zeros(len(kinds))
-                ctx_n[ctx] = bloom.get(kinds[ctx] ^ _CONTEXT)
-                start, start_ok = look_up(kinds, np.array([END]))
-                prev = np.concatenate([start, inv[:-1]])
-                p = p1[inv]
-                pair = np.flatnonzero(ctx[prev])
+                c1 = quantised(exact)
+                scores = np.bincount(doc, np.where(known, _token_part(c1, under), 0.0)[inv], n_docs)
+                # pairs in the filter, if the second token's count is here
+                pair, first, back = np.unique(bigram_key(np.concatenate([[END], h[:-1]]), h), return_index=True, return_inverse=True)
+                second = inv[first]
                 c2 = np.zeros(len(pair))
-                both = ctx[inv[pair]]
-                ids, back = np.unique(ctx_at[prev[pair[both]]] * np.int64(max(1, len(context))) + ctx_at[inv[pair[both]]], return_inverse=True)
-                if len(ids):
-                    c2[both] = bloom.get(bigram_key(context[ids // len(context)], context[ids % len(context)]))[back]
-                p[pair] = (c2 + MU * p[pair]) / (ctx_n[prev[pair]] + MU)
-                scores = np.bincount(doc, np.log10(p), n_docs)
-                # exact counts of all other tokens come by join
+                here = known[second]
+                c2[here] = bloom.get(pair[here])
+                scores += np.bincount(doc, _gain(c2, c1[second], under)[back], n_docs)
+                # all other tokens and pairs come by join
                 rest = np.flatnonzero(~known[inv])
-                d, x = doc[rest], inv[rest]
-                both_ids, freq = np.unique(d * np.int64(len(kinds)) + x, return_counts=True)
-                d, x = both_ids // len(kinds), kinds[both_ids % len(kinds)].view(np.int64)
+                d, x, freq = freqs(doc[rest], inv[rest], kinds)
+                rest = np.flatnonzero(c2[back] == 0)
+                d2, x2, freq2 = freqs(doc[rest], back[rest], pair)
                 rid = np.asarray(column(part, "rid"))
-                ds = np.concatenate([np.arange(n_docs), d])
+                ds = np.concatenate([np.arange(n_docs), d, d2])
                 sort = np.argsort(ds, kind="stable")
-                hs, fs = np.concatenate([rid * 0x9E3779B1 + 1, x])[sort], np.concatenate([np.zeros(n_docs, np.int64), freq])[sort]
+                # a text's own row has the number 0, pairs have negative numbers
+                hs, fs = np.concatenate([rid * 0x9E3779B1 + 1, x, x2])[sort], np.concatenate([np.zeros(n_docs, np.int64), freq, -freq2])[sort]
                 rows = pa.StructArray.from_arrays([pa.array(hs, pa.int64()), pa.array(fs, pa.int64())], ["h", "freq"])
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "rid"), column(part, key), pa.array(size), pa.array(n_known), pa.array(base), pa.array(scores), list_array(rows, np.bincount(ds, minlength=n_docs))],
@@ -241,12 +285,15 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     rows = per.select("rid", F.struct("key", "n_tokens", "n_known", "base", "score").alias("own"), F.explode("rest").alias("r"))
     mine = F.col("r.freq") == 0
     rows = rows.select("rid", *[F.when(mine, F.col(f"own.{c}")).alias(c) for c in ("key", "n_tokens", "n_known", "base", "score")], F.col("r.h").alias("h"), F.col("r.freq").alias("freq"))
-    met = rows.join(model.counts.select("h", F.col("n").alias("c")), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = F.sum(F.when(F.col("freq") > 0, F.col("freq") * F.log10((F.col("c") + ADDED) / F.lit(under))).otherwise(0.0))
-    seen = F.sum(F.when(F.col("c") > 0, F.col("freq")).otherwise(0))
+    met = rows.join(_parts(model, under), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    unseen = float(_token_part(np.zeros(1), under)[0])
+    token = F.col("freq") > 0
+    more = F.sum(F.when(token, F.col("freq") * F.log10((F.col("c") + ADDED) / F.lit(under))).otherwise(0.0))
+    seen = F.sum(F.when(token & (F.col("c") > 0), F.col("freq")).otherwise(0))
+    gains = F.sum(F.when(token, F.col("freq") * F.coalesce("g", F.lit(unseen))).when(F.col("freq") < 0, -F.col("freq") * F.coalesce("g", F.lit(0.0))).otherwise(0.0))
     return (
         met.groupBy("rid")
-        .agg(F.max("key").alias(key), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + seen).cast("long").alias("n_known"), (F.max("base") + more).alias("base_score"), F.max("score").alias("score"))
+        .agg(F.max("key").alias(key), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + seen).cast("long").alias("n_known"), (F.max("base") + more).alias("base_score"), (F.max("score") + gains).alias("score"))
         .withColumn("train_tokens", F.lit(n).cast("long"))
         .select(key, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     )
