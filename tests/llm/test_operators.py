@@ -244,6 +244,27 @@ def test_suffix_dedup(spark, docs, texts, empty, monkeypatch):
     assert s["windows"].sum() == len(t) - 199
 
 
+def test_suffix_dedup_one_copy(spark, monkeypatch):
+    """Many copies of a text and one near copy: each stretch goes to its shard once."""
+    base = made(random.Random(9), 120, 400)
+    at = base.index(" ", 300)
+    all_ = [base] * 30 + [f"{base[:at]} changed{base[at:]}"]
+    df = spark.createDataFrame(list(enumerate(all_)), "doc_id long, text string").repartition(3)
+    dealt, plain = [], type(df).repartition
+
+    def counted(self, n, *by):
+        if by == ("anchor",):
+            dealt.append((self.count(), self.select("anchor", "t1", "t2", "start").distinct().count()))
+        return plain(self, n, *by)
+
+    monkeypatch.setattr(type(df), "repartition", counted)
+    got = {r["doc_id"]: r["kept"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert dealt and all(n == one > 0 for n, one in dealt)
+    raw = [t.encode() for t in all_]
+    for i, (t, gone) in enumerate(zip(raw, repeats(raw), strict=True)):
+        assert bytes(got[i]) == bytes(b for b, g in zip(t, gone, strict=True) if not g)
+
+
 def test_language(spark, empty):
     rng = random.Random(4)
     voc = {"en": ["the", "and", "with", "thing"], "de": ["und", "der", "schön", "ung"], "fr": ["est", "que", "très", "eau"], "es": ["que", "los", "ción", "ñor"]}

@@ -43,6 +43,7 @@ WIDTH, GRAM = 200, 64
 #: Bitmaps of anchors, places and texts: 16, 8 and 8 MB at any size.
 ANCHOR_BITS, PLACE_BITS, TEXT_BITS = 27, 26, 26
 PIECE, SLICE = 1 << 19, 1 << 20
+SEEN = 1 << 16
 
 
 def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -219,8 +220,17 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // shard_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts that the task has cut already; forgotten from time to time, as this only saves work
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
+                fresh = []
+                for tid in zip(column(part, "t1").to_pylist(), column(part, "t2").to_pylist(), strict=True):
+                    fresh.append(tid not in done)
+                    done.add(tid)
+                if len(done) > SEEN:
+                    done.clear()
+                part = part.filter(pa.array(fresh))
                 data, offs = flat(column(part, "text"))
                 s = stretches(data, offs, width, gram)
                 t1, t2 = np.asarray(column(part, "t1"))[s["doc"]], np.asarray(column(part, "t2"))[s["doc"]]
@@ -233,7 +243,9 @@ def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: in
                     ["anchor", "t1", "t2", "start", "bytes"],
                 )
 
-    pieces = texts.mapInArrow(cut, "anchor long, t1 long, t2 long, start long, bytes binary").join(ones, ["anchor", "t1", "t2", "start"], "left_semi")
+    place = ["anchor", "t1", "t2", "start"]
+    # copies of a text that other tasks have cut go here
+    pieces = texts.mapInArrow(cut, "anchor long, t1 long, t2 long, start long, bytes binary").join(ones, place, "left_semi").dropDuplicates(place)
     dealt = pieces.repartition(shards, "anchor")
     partly = dealt.mapInArrow(lambda b: sort_shard(b, width), "t1 long, t2 long, start long, length long")
     spans = stored(whole.unionByName(partly).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "length")).alias("spans")))
