@@ -97,6 +97,16 @@ def test_snapshots(spark):
     assert snapshots.compare("x\ny", "x\nz", 1)[5] is False
 
 
+def test_snapshots_of_whole_texts(spark, tmp_path):
+    from webstrata.plans.queries import QUERIES
+
+    rows = [(4, "a" * 500 + "\nold"), (5, "a" * 500 + "\nnew")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = QUERIES["q_snapshot_diff"](spark, str(tmp_path)).orderBy("captured_at").collect()
+    assert d[1]["changed"] and d[1]["added"] == ["new"] and d[1]["removed"] == ["old"]
+    assert QUERIES["q_latest_snapshot"](spark, str(tmp_path)).first()["captured_at"] == 5
+
+
 def test_fields(spark):
     page = '<script type="application/ld+json">{"name": "N", "offers": {"price": "1,200.50"}}</script><meta property="og:title" content="OG"><dl><dt>Price Match Guarantee</dt><dd>yes</dd><dt>Maker</dt><dd> </dd><dt>Manufacturer</dt><dd>ACME</dd></dl>'
     p = html.with_signals(spark.createDataFrame([(1, page), (2, "<dl><dt>Price Match Guarantee</dt><dd>yes</dd></dl>")], "id int, html string"))

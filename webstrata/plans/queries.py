@@ -468,10 +468,10 @@ def q_dl_fields(spark, sf):
     return fields.resolve(pages, asked, "c_custkey").select("c_custkey", "field", "value", "number", "source")
 
 
-def _versions(spark, sf):
-    """Documents as versions of pages: twenty documents of a source in a row are one page."""
+def _versions(spark, sf, chars=None):
+    """Documents as versions of pages: four documents in a row are one page. chars: only so many of each text."""
     d = table(spark, sf, "documents")
-    return d.select(F.concat(F.lit("https://h.example/"), (F.col("doc_id") / 4).cast("long").cast("string")).alias("url"), F.left("text", F.lit(400)).alias("content"), F.col("doc_id").alias("captured_at"))
+    return d.select(F.concat(F.lit("https://h.example/"), (F.col("doc_id") / 4).cast("long").cast("string")).alias("url"), (F.left("text", F.lit(chars)) if chars else F.col("text")).alias("content"), F.col("doc_id").alias("captured_at"))
 
 
 @query(
@@ -481,7 +481,7 @@ def _versions(spark, sf):
 def q_snapshot_versions(spark, sf):
     from webstrata.operators import snapshots
 
-    v = snapshots.versions(snapshots.snapshots(_versions(spark, sf)))
+    v = snapshots.versions(snapshots.snapshots(_versions(spark, sf, 400)))  # as its SQL does
     return v.select("label", "captured_at", "content_hash", (F.col("old").isNull() | (F.col("old.content_hash") != F.col("content_hash"))).alias("changed"))
 
 
