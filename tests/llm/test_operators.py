@@ -90,6 +90,17 @@ def test_decontamination(spark, docs, texts):
     assert decontam.decontaminate(docs, b.limit(0)).count() == len(texts) and decontam.annotate(docs.limit(0), b).count() == 0
 
 
+def test_decontamination_without_id(spark):
+    long = made(random.Random(6), 30, 200)
+    df = spark.createDataFrame([(1, f"a {long} b"), (2, "other words")], "doc_id long, text string")
+    other = made(random.Random(7), 90, 200)
+    b = spark.createDataFrame([(None, long), (3, other), (None, None)], "item_id long, text string")
+    for block in (8 << 20, 300):
+        got = {r["doc_id"]: r for r in decontam.annotate(df, b, block_bytes=block).collect()}
+        assert (got[1]["n_hit"], got[1]["contaminated"], got[1]["items"]) == (30, True, []) and {m["item_id"] for m in got[1]["matches"]} == {None}
+        assert not got[2]["contaminated"]
+
+
 def test_targets_reshare():
     assert mixing.targets([10, 10, 10]) == pytest.approx([20.0, 8.333333, 16.666667])
     assert mixing.targets([]) == [] and mixing.targets([0, 5]) == pytest.approx([0, 7.5])

@@ -12,7 +12,7 @@ most `block_bytes` bytes of text, so what is broadcast has a bound; more items m
 more passes. There is no shuffle.
 
 Defined results: a null or empty text has no words and is clean; an item without
-words matches nothing; items that share an id count once; equal rows give equal
+words matches nothing; items without an id count as hits but are in no list of ids; items that share an id count once; equal rows give equal
 results; an empty benchmark leaves all clean. Other columns stay; added ones
 replace columns of the same name.
 """
@@ -33,6 +33,8 @@ from webstrata.llm._text import ALNUM, LOWER, column, flat, list_array, slices,
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
+#: Stands for an item without an id while items are searched.
+NO_ID = -(1 << 63)
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
 ADDED = T.StructType(
     [
@@ -171,7 +173,7 @@ def _shard(part: pa.RecordBatch, text: str, t: Tests, before: str | None) -> lis
         old = column(part, before)
         flat_old = old.flatten()
         doc = np.concatenate([doc, np.repeat(np.arange(len(n)), np.asarray(old.value_lengths().fill_null(0)))])
-        get = lambda k, x: np.concatenate([x, np.asarray(flat_old.field(k), np.int64)])
+        get = lambda k, x: np.concatenate([x, np.asarray(flat_old.field(k).fill_null(NO_ID), np.int64)])
         item, item_word, length = get(0, item), get(1, item_word), get(3, length)
         p = np.concatenate([p, np.asarray(flat_old.field(2), np.int64) + by[doc[len(p) :]]])
     cover = np.zeros(len(s) + 1, np.int64)
@@ -181,22 +183,22 @@ def _shard(part: pa.RecordBatch, text: str, t: Tests, before: str | None) -> lis
     n_hit = hit[by[1:]] - hit[by[:-1]]
     order = np.lexsort((item_word, item, p))
     doc, item, item_word, p, length = doc[order], item[order], item_word[order], p[order], length[order]
-    pairs = sorted({(d, str(x), x) for d, x in zip(doc.tolist(), item.tolist(), strict=True)})
+    pairs = sorted({(d, str(x), x) for d, x in zip(doc.tolist(), item.tolist(), strict=True) if x != NO_ID})
     ids = list_array(pa.array([x for _, _, x in pairs], pa.int64()), np.bincount([d for d, _, _ in pairs], minlength=len(n)) if pairs else np.zeros(len(n), int))
     order = np.argsort(doc, kind="stable")
-    rows = pa.StructArray.from_arrays([pa.array(x[order], pa.int64()) for x in (item, item_word, p - by[doc], length)], [f.name for f in MATCH])
+    rows = pa.StructArray.from_arrays([pa.array(item[order], pa.int64(), mask=item[order] == NO_ID), *(pa.array(x[order], pa.int64()) for x in (item_word, p - by[doc], length))], [f.name for f in MATCH])
     matches = list_array(rows, np.bincount(doc, minlength=len(n)) if len(doc) else np.zeros(len(n), int))
     return [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), ids, pa.array((n_hit > 0) & (20 * n_hit >= n), pa.bool_()), matches]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int, window: int) -> Iterator[Tests]:
-    rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(f"`{item}`").cast("long").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = 1 + int(total // block_bytes)
     for k in range(n):
         # hashes spread items evenly; half as much again is the most that a block is meant to hold
         got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).distinct().collect()
-        yield tests_of(sorted((r["i"], r["t"]) for r in got), window)
+        yield tests_of(sorted((NO_ID if r["i"] is None else r["i"], r["t"]) for r in got), window)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 8 << 20, keep_text: bool = True) -> DataFrame:
