@@ -11,7 +11,8 @@ symbol come out in the order they went in, so the queue is a row of files: its h
 are in memory, what is beyond `memory` tuples is on disk. The text and the types are
 memory-mapped. Common-prefix values are carried along: that of an induced tuple is
 one more than the least value read since the last tuple of the same symbol; they are
-cut off at `cap`.
+cut off at `cap`. Seeds, names and what the sweeps give are arrays in memory, so the
+string must fit there with some tens of bytes a symbol.
 """
 
 from __future__ import annotations

@@ -12,9 +12,9 @@ removed. Such strings are found in shards:
 3. All other stretches that share an anchor go, by anchor, to the shard of that
    anchor, one copy of each, and a suffix array with common-prefix values is built
    there (:mod:`webstrata.llm._induced`): windows whose common prefix with a
-   neighbour reaches `width` repeat. A shard may be larger than memory: its text is
-   a mapped file and the queues are on disk, in a scratch folder of the task that is
-   gone when the task ends.
+   neighbour reaches `width` repeat. A shard must fit in memory, with some tens of
+   bytes a symbol: only its text and what queues hold beyond their budget are on
+   disk, in a scratch folder of the task that is gone when the task ends.
 4. What repeats is gathered per text, by a hash of the whole text; equal texts have
    equal repeats.
 
