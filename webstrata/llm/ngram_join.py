@@ -13,7 +13,12 @@ Equal texts form one class, so copies cost one narrow row each. Links are found
 two rounds: first each class is held against one leader per shared n-gram, the class
 in which it comes earliest, which is the original where there is one; then the full
 join looks only at pairs of different components, as a link inside a component
-cannot change it.
+cannot change it. Of an n-gram's holders those of its largest component aren't held
+against each other, so a group of near copies costs a row each there too.
+
+A pair's whole sets are only compared if their signatures allow it: one bit for each
+n-gram, folded by parity into about as many bits as there are n-grams. Bits that
+differ are no more than the n-grams that do.
 
 N-grams are compared by 64-bit hashes of their words, texts by 128 bits. Estimates
 come from counts that repeat inside a task; they steer the order and l, never the
@@ -35,15 +40,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm._components import components
-from webstrata.llm._io import most_frequent, stored
+from webstrata.llm._io import free_name, most_frequent, stored
 from webstrata.llm._text import LOWER, SPACED, Counts, column, flat, list_array, look_up, mix, slices, window_hashes, word_hashes, words
 
 MOST_MATCHES = 8
-FEW_PAIRS = 1 << 17
 #: N-grams of more documents than this are taken to come from a shared passage.
 LIGHT = 64
 #: Bitmaps of rows and of n-grams: 8 and 16 MB at any size.
 ROW_BITS, OFTEN_BITS = 26, 27
+#: Bits by which n-grams are told apart while those found again are looked for.
+COUNT_BITS = 40
 
 
 def sets_of(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -157,23 +163,54 @@ def _heavy(docs: DataFrame, n: int, keep: int, reps, held: int = 1 << 21) -> tup
     return h[order], c[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b, texts a1 a2 and b1 b2) those whose sets reach the threshold.
+def signatures(grams: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Of each set the parity of its n-grams in the least power of two of bits that is its size or more, 64 at least."""
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+    begin = np.cumsum(bits >> 3) - (bits >> 3)
+    out = np.zeros(int((bits >> 3).sum()), np.uint8)
+    at = (mix(grams + np.uint64(1)) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(out, np.repeat(begin, sizes) + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+    ends = np.concatenate([begin, [len(out)]])
+    return pa.array([out[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
-    Few pairs, up to FEW_PAIRS rows of 48 bytes, are broadcast to the sets for the
-    first join; more are joined by shuffling both.
-    """
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two signatures differ, the longer one folded to the size of the other: no more than n-grams that differ."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, size = int.from_bytes(x, "little"), len(x)
+    while size > len(y):
+        size >>= 1
+        a = (a >> (8 * size)) ^ (a & ((1 << (8 * size)) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs with sizes na, nb and signatures sa, sb those that may reach the threshold."""
+    t = round(threshold * 1000)
+    names = ["a", "b", "a1", "a2", "b1", "b2"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(column(batch, "na")).astype(np.int64) + np.asarray(column(batch, "nb"))
+            differ = [differing(x.as_py(), y.as_py()) for x, y in zip(column(batch, "sa"), column(batch, "sb"), strict=True)]
+            keep = pa.array((1000 + t) * np.array(differ, np.int64) <= (1000 - t) * total)
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(keep) for c in names], names)
+
+    return pairs.mapInArrow(check, ", ".join(f"{c} long" for c in names))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b, texts a1 a2 and b1 b2) those whose sets reach the threshold."""
     t = round(threshold * 1000)
-    if pairs.count() <= FEW_PAIRS:
-        pairs = F.broadcast(pairs)
     left = pairs.join(sets.select(F.col("t1").alias("a1"), F.col("t2").alias("a2"), F.col("grams").alias("x")), ["a1", "a2"])
     both = left.join(sets.select(F.col("t1").alias("b1"), F.col("t2").alias("b2"), F.col("grams").alias("y")), ["b1", "b2"]).select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 x, y = part.column(2), part.column(3)
                 nx, ny = np.asarray(x.value_lengths()).astype(np.int64), np.asarray(y.value_lengths()).astype(np.int64)
                 row = np.concatenate([np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)])
@@ -189,6 +226,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def _found_again(docs: DataFrame, pick, held: int = 1 << 20) -> np.ndarray:
+    """A bitmap of the places of all n-grams that `pick` gives for more than one row.
+
+    Tasks count their own and send the upper COUNT_BITS bits of each, in sorted runs
+    of differences, to the task of their range.
+    """
+    wanted = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = min(max(1, (wanted - 1).bit_length()), OFTEN_BITS - 6)
+    within = COUNT_BITS - deal
+
+    def sent(got: Counts) -> Iterator[pa.RecordBatch]:
+        # the last bit tells whether the task itself has it more than once
+        keys = (got.keys >> np.uint64(64 - COUNT_BITS) << np.uint64(1)) | (got.n > 1)
+        part = (keys >> np.uint64(within + 1)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange((1 << deal) + 1))
+        ids, blobs = [], []
+        for p, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            if j > i:
+                gaps = np.diff(keys[i:j] & np.uint64((1 << (within + 1)) - 1), prepend=np.uint64(0))
+                ids.append(p)
+                blobs.append(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
+        got.__init__()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "keys"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Counts()
+        for batch in batches:
+            for grams in pick(batch):
+                got.add(*np.unique(grams, return_counts=True))
+                if len(got) > held:
+                    yield from sent(got)
+        yield from sent(got)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, raw in zip(column(batch, "part").to_pylist(), column(batch, "keys"), strict=True):
+                data = np.frombuffer(raw.as_py(), np.uint8)
+                wide = np.zeros((len(data) // 6, 8), np.uint8)
+                wide[:, :6] = data.reshape(6, -1).T
+                parts.setdefault(part, []).append(np.cumsum(wide.view(np.uint64).ravel()))
+        bits = OFTEN_BITS - deal
+        for part, got in parts.items():
+            keys = np.sort(np.concatenate(got))
+            key = keys >> np.uint64(1)
+            again = (keys & np.uint64(1)) == 1
+            again[1:] |= key[1:] == key[:-1]
+            marked = np.zeros(1 << bits, bool)
+            marked[(key[again] >> np.uint64(within - bits)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(marked, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    dealt = docs.mapInArrow(count, "part int, keys binary").repartitionById(1 << deal, F.col("part"))
+    got = dealt.mapInArrow(merge, "part int, bits binary").toArrow().combine_chunks()
+    size = 1 << (OFTEN_BITS - deal - 3)
+    out = np.zeros(1 << (OFTEN_BITS - 3), np.uint8)
+    for part, bits in zip(got.column("part").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[part * size : (part + 1) * size] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, heavy: int = 1 << 18) -> DataFrame:
     """`key`, `n_shingles`, `component_id` and `text_hash` of every row."""
     spark = docs.sparkSession
@@ -206,17 +303,11 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     table = share(_heavy(docs, n, heavy, reps))
 
     # prefix n-grams found in more than one class, by a bitmap of their hashes
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = Counts()
-        for batch in batches:
-            for part in slices(_only(batch, reps.value), "text"):
-                got.add(*np.unique(prefixes(*sets_of(column(part, "text"), n), *table.value, threshold)[0], return_counts=True))
-                if len(got) > 1 << 19:
-                    yield from got.drain()
-        yield from got.drain()
+    def heads(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in slices(_only(batch, reps.value), "text"):
+            yield prefixes(*sets_of(column(part, "text"), n), *table.value, threshold)[0]
 
-    again = docs.select("text", "place").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    often = share(_bitmap(again.select(F.shiftrightunsigned("h", 64 - OFTEN_BITS).alias("p")), OFTEN_BITS))
+    often = share(_found_again(docs.select("text", "place"), heads))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,36 +320,36 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
                 of = np.repeat(np.arange(len(take)), take)[keep]
                 marks = pa.StructArray.from_arrays([pa.array(pick[keep].view(np.int64)), pa.array(pos[keep].astype(np.int32))], ["gram", "pos"])
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "key"), column(part, "t1"), column(part, "t2"), pa.array(sizes), pa.array(ell.astype(np.int16)), list_array(marks, np.bincount(of, minlength=len(take)))],
-                    ["key", "t1", "t2", "n", "ell", "marks"],
+                    [column(part, "key"), column(part, "t1"), column(part, "t2"), pa.array(sizes), pa.array(ell.astype(np.int16)), list_array(marks, np.bincount(of, minlength=len(take))), signatures(grams, sizes)],
+                    ["key", "t1", "t2", "n", "ell", "marks", "sig"],
                 )
 
-    cuts = docs.select("key", "text", "t1", "t2", "place").mapInArrow(cut, f"key {kind}, t1 long, t2 long, n long, ell short, marks array<struct<gram:long,pos:int>>")
+    cuts = docs.select("key", "text", "t1", "t2", "place").mapInArrow(cut, f"key {kind}, t1 long, t2 long, n long, ell short, marks array<struct<gram:long,pos:int>>, sig binary")
     of = classes.select("cid", F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first")
     same = (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2")) & F.col("key").eqNullSafe(F.col("first"))
-    cuts = stored(cuts.join(of, same).select("cid", F.col("n").cast("int").alias("n"), "ell", "marks"))
+    cuts = stored(cuts.join(of, same).select("cid", "c1", "c2", "first", F.col("n").cast("int").alias("n"), "ell", "marks", "sig"))
     repeated = cuts.count() != classes.count()
     if repeated:  # rows that are equal in key and text
         cuts = cuts.dropDuplicates(["cid"])
     for b in (reps, table, often):
         b.destroy()
-    by_gram = Window.partitionBy("gram")
-    shared = cuts.select("cid", "n", "ell", F.explode("marks").alias("m")).select("m.gram", "m.pos", "cid", "n", "ell")
+    # sums by n-gram are stored and joined back, so that Spark can split the rows of a frequent one
+    marked = cuts.select("cid", "n", "ell", F.explode("marks").alias("m")).select("m.gram", "m.pos", "cid", "n", "ell")
+    held = stored(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("least")).where("held > 1").select("gram", "least"))
     # a row whose n-gram comes too late for the smallest set that fits can't be part of a link
-    held = F.count(F.lit(1)).over(by_gram)
-    small = F.greatest(F.min("n").over(by_gram).cast("long"), F.ceil(F.lit(t) * F.col("n") / 1000))
+    small = F.greatest(F.col("least").cast("long"), F.ceil(F.lit(t) * F.col("n") / 1000))
     early = (1000 + t) * (F.col("n") - F.col("pos") + F.col("ell") - 1).cast("long") >= F.lit(t) * (F.col("n") + small)
-    shared = shared.withColumns({"held": held, "early": early}).where("held > 1 and early").withColumn("held", held).where("held > 1")
-    shared = stored(shared.select("gram", "pos", "cid", "n", "ell"))
-    texts = classes.select("cid", F.col("t1").alias("c1"), F.col("t2").alias("c2"), "first")
+    shared = stored(marked.join(held, "gram").where(early).select("gram", "pos", "cid", "n", "ell"))
+    texts = cuts.select("cid", "c1", "c2", "first", "n", "sig")
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("cid").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2")), "a")
-        return one.join(texts.select(F.col("cid").alias("b"), F.col("c1").alias("b1"), F.col("c2").alias("b2")), "b")
+    def likely(pairs: DataFrame) -> DataFrame:
+        for e in "ab":
+            pairs = pairs.join(texts.select(F.col("cid").alias(e), F.col("c1").alias(f"{e}1"), F.col("c2").alias(f"{e}2"), F.col("n").alias(f"n{e}"), F.col("sig").alias(f"s{e}")), e)
+        return stored(_likely(pairs, threshold))
 
     def sets(pairs: DataFrame) -> DataFrame:
         """(t1, t2, grams): whole sets of the classes in pairs, and by chance of a few more."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts, "cid")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(texts.select("cid", "first", "c1"), "cid")
         marked = share(_bitmap(needed.select(F.pmod(F.xxhash64("first", "c1"), F.lit(1 << ROW_BITS)).alias("p")), ROW_BITS))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,24 +367,34 @@ def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
         left = F.least(F.col(x) - F.col(i), F.col(y) - F.col(j)) + slack
         return sized & ((1000 + t) * left >= F.lit(t) * (F.col(x) + F.col(y)))
 
-    lead = F.first(F.struct("cid", "n", "pos", "ell")).over(by_gram.orderBy("pos", "n", "cid"))
-    led = shared.withColumn("lead", lead).select("cid", "n", "pos", "ell", F.col("lead.cid").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"), F.col("lead.ell").alias("l"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        some = likely(pairs)
+        return stored(_verified(some, sets(some), threshold))
+
+    lead = F.min(F.struct("pos", "n", "cid", "ell")).alias("lead")
+    leads = stored(shared.groupBy("gram").agg(lead, F.count(F.lit(1)).alias("held")).where("held > 1").select("gram", "lead"))
+    led = shared.join(leads, "gram").select("cid", "n", "pos", "ell", F.col("lead.cid").alias("a"), F.col("lead.n").alias("m"), F.col("lead.pos").alias("at"), F.col("lead.ell").alias("l"))
     led = led.where((F.col("cid") != F.col("a")) & fits("n", "m", "pos", "at", F.least("ell", "l") - 1))
     tried = stored(led.select(F.least("cid", "a").alias("a"), F.greatest("cid", "a").alias("b")).distinct())
-    links = stored(_verified(with_texts(tried), sets(tried), threshold))
+    links = linked(tried)
     comps = components(links)
-    # the full join, between components
-    labelled = shared.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    x, y = (labelled.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "cid", "n", "pos", "ell", "comp")]) for s in "ab")
+    # the full join, between components: all holders of an n-gram against those outside its largest component
+    labelled = stored(shared.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    sizes = labelled.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = stored(sizes.groupBy("gram").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("gram", F.col("most.comp").alias("largest")))
+    labelled = stored(labelled.join(largest, "gram"))
+    x, y = (labelled.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "cid", "n", "pos", "ell", "comp", "largest")]) for s in "ab")
     close = fits("n_a", "n_b", "pos_a", "pos_b", F.least("ell_a", "ell_b") - 1)
-    met = x.join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & close)
-    enough = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("ell")).where("k >= ell").select("a", "b")
-    left = stored(enough.join(tried, ["a", "b"], "left_anti"))
-    comps = components(stored(links.union(_verified(with_texts(left), sets(left), threshold))))
-
-    sized = classes.join(cuts.select("cid", "n"), "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("t1", "t2", "first", "n", F.coalesce("comp", "cid").alias("comp"))
-    ids = sized.groupBy("comp").agg(F.min("first").alias("component_id"))
-    final = sized.join(ids, "comp").select("t1", "t2", F.col("n").cast("long").alias("n"), "component_id")
+    once = (F.col("comp_b") == F.col("largest_b")) | (F.col("cid_a") < F.col("cid_b"))
+    met = x.where("comp_a <> largest_a").join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("comp_a") != F.col("comp_b")) & once & close)
+    ends = [F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")]
+    enough = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("ell_a", "ell_b")).alias("ell")).where("k >= ell").select("a", "b")
+    comps = components(links.union(linked(stored(enough.join(tried, ["a", "b"], "left_anti")))))
+
+    ids = stored(comps.join(texts.select(F.col("cid").alias("id"), "first"), "id").groupBy("comp").agg(F.min("first").alias("component_id")))
+    members = comps.join(ids, "comp").select(F.col("id").alias("cid"), "component_id")
+    final = texts.select("cid", "c1", "c2", "first", "n").join(members, "cid", "left")
+    final = stored(final.select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("n").cast("long").alias("n"), F.coalesce("component_id", "first").alias("component_id")))
     out = rows.join(final, ["t1", "t2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("t1").alias("text_hash"))
@@ -306,13 +407,15 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **o
     rows without a key stay if their whole group has none.
     """
     found = similarity_classes(docs, key=key, text=text, **options).where(F.col("component_id").eqNullSafe(F.col(f"`{key}`")))
-    keep = stored(found.groupBy(F.col(f"`{key}`").alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__size")))
+    names = list(docs.columns)
+    k, h, n = (free_name(names, f"keep_{x}") for x in ("key", "hash", "n"))
+    keep = stored(found.groupBy(F.col(f"`{key}`").alias(k), F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias(n), F.max("n_shingles").alias("size")))
     here = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (here == F.col("__hash"))
-    rows = docs.join(keep.select("__key", "__hash"), same, "left_semi")
-    many = keep.where("__n > 1 and __size > 0").select("__key", "__hash")
+    same = F.col(f"`{key}`").eqNullSafe(F.col(k)) & (here == F.col(h))
+    rows = docs.join(keep.select(k, h), same, "left_semi")
+    many = keep.where((F.col(n) > 1) & (F.col("size") > 0)).select(k, h)
     if many.limit(1).count() == 0:
         return rows
     order = Window.partitionBy(F.col(f"`{key}`"), here).orderBy(F.lit(1))
-    again = rows.join(many, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    again = rows.join(many, same, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).drop(n)
     return rows.join(many, same, "left_anti").unionByName(again)
