@@ -9,12 +9,14 @@ sorted as deep as a window, which is all that the searches compare.
 
 Words are compared by 64-bit hashes. Test items come to the workers in blocks of at
 most `block_bytes` bytes of text, so what is broadcast has a bound; more items mean
-more passes. There is no shuffle.
+more passes, and an item that is larger alone is a block of its own, which the driver
+must hold. There is no shuffle.
 
 Defined results: a null or empty text has no words and is clean; an item without
-words matches nothing; items without an id count as hits but are in no list of ids; items that share an id count once; equal rows give equal
-results; an empty benchmark leaves all clean. Other columns stay; added ones
-replace columns of the same name.
+words matches nothing; items without an id count as hits but are in no list of ids;
+items that share an id count once; ids are whole numbers; equal rows give equal
+results; an empty benchmark leaves all clean. Other columns stay; `annotate` replaces
+columns named like added ones, `decontaminate` keeps them.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from webstrata.llm._io import free_name
 from webstrata.llm._text import ALNUM, LOWER, column, flat, list_array, slices, word_hashes, words
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
+#: Occurrences of item suffixes that are listed at a time.
+AT_ONCE = 1 << 20
 #: Stands for an item without an id while items are searched.
 NO_ID = -(1 << 63)
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
@@ -133,18 +138,26 @@ def search_shard(hashes: np.ndarray, by: np.ndarray, t: Tests) -> tuple[np.ndarr
         b = _search(cols[k], lo[on], hi[on], want, True)
         lo[on], hi[on] = a, b
     found = np.maximum(hi - lo, 0)
-    q = np.repeat(np.arange(len(t.at)), found)
-    if not len(q):
-        return none, none, none
-    p = sa[np.repeat(lo, found) + np.arange(len(q)) - np.repeat(np.cumsum(found) - found, found)]
-    i = t.at[q]
-    # what can be extended to the left is part of a longer match
     starts = np.repeat(by[:-1], np.diff(by))
     new_item = np.ones(len(t.ids), bool)
     new_item[1:] = t.item_of[1:] != t.item_of[:-1]
-    inner = (p > starts[p]) & ~new_item[i]
-    inner &= ids[p - 1] == t.ids[i - 1]
-    p, i, length = p[~inner], i[~inner], t.width[q[~inner]].astype(np.int64)
+    # occurrences are listed some at a time; what can be extended to the left is part of a longer match
+    kept: list[tuple[np.ndarray, ...]] = []
+    sums = np.concatenate([[0], np.cumsum(found)])
+    first = 0
+    while first < len(found):
+        last = max(first + 1, int(np.searchsorted(sums, sums[first] + AT_ONCE, "right")) - 1)
+        n_each = found[first:last]
+        q = np.repeat(np.arange(first, last), n_each)
+        if len(q):
+            p = sa[np.repeat(lo[first:last], n_each) + np.arange(len(q)) - np.repeat(np.cumsum(n_each) - n_each, n_each)]
+            i = t.at[q]
+            outer = ~((p > starts[p]) & ~new_item[i] & (ids[p - 1] == t.ids[i - 1]))
+            kept.append((p[outer], i[outer], t.width[q[outer]].astype(np.int64)))
+        first = last
+    if not kept:
+        return none, none, none
+    p, i, length = (np.concatenate([k[j] for k in kept]) for j in range(3))
     room = np.minimum(run[p], t.left[i])
     grow = np.flatnonzero(length < room)
     while len(grow):
@@ -224,9 +237,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows that are not contaminated, with their own columns."""
-    return annotate(docs, benchmark, **options).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The rows that are not contaminated, with their own columns, those named like added ones too."""
+    names = list(docs.columns)
+    added = {f.name for f in ADDED}
+    aside = {c: free_name(names, f"own_{c}") if c.lower() in added else c for c in names}
+    out = annotate(docs.withColumnsRenamed(aside), benchmark, text=aside[text], **options).where("not contaminated")
+    return out.select(*[F.col(f"`{aside[c]}`").alias(c) for c in names])
 
 
 def items_sha256(ids: list[int]) -> str:
