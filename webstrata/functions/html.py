@@ -24,7 +24,11 @@ UNSEEN = {"script", "style", "template", "noscript"}
 # Inline styles that hide an element.
 HIDING = ["display:none", "visibility:hidden", "left:-9999", "top:-9999", "right:-9999", "text-indent:-9999", "clip:rect(0,0,0,0)", "clip:rect(0px,0px,0px,0px)", "clip-path:inset(100%)", "clip-path:circle(0)"]
 HIDING_ZERO = re.compile(r"(?:opacity|font-size|width|height):0(?:px|em|rem|%)?(?:;|!|$)")
-MAX_OBJECTS, MAX_PAIRS = 500, 2000
+MAX_OBJECTS, MAX_PAIRS, MAX_DEPTH = 500, 2000, 6
+# Leaves that stand for the object they are in, the first that is there.
+COLLAPSING = ["name", "value", "ratingvalue", "price", "url"]
+#: Sources of field values, the first counts most.
+SOURCES = ["json_ld_fields", "og", "meta", "microdata", "pairs"]
 
 
 class Node:
@@ -42,6 +46,10 @@ class Node:
             yield node
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
+    def raw(self) -> list[str]:
+        """All text as it stands."""
+        return [c for n in self.walk() for c in n.children if isinstance(c, str)]
+
     def texts(self, skip: set[str] = frozenset()) -> list[str]:
         """Stripped pieces of text, in document order, outside elements named in `skip`."""
         out, stack = [], [self]
@@ -148,7 +156,10 @@ def main_text(root: Node) -> str:
 
 def dense_text(root: Node) -> str:
     """Text of the blocks that hold more words than link words; the first tier's stand-in."""
-    out = []
+    return "\n".join(own for _, own in _dense_blocks(root))
+
+
+def _dense_blocks(root: Node) -> Iterator[tuple[Node, str]]:
     for n in root.walk():
         if n.tag in ("p", "li", "blockquote", "pre", "h1", "h2", "h3", "td"):
             p = n.parent
@@ -159,8 +170,59 @@ def dense_text(root: Node) -> str:
             own = " ".join(t.strip() for c in n.children for t in ([c] if isinstance(c, str) else c.texts({"p", "li", "blockquote", *BOILERPLATE})) if t.strip())
             links = sum(len(" ".join(a.texts()).split()) for a in n.walk() if a.tag == "a")
             if own and len(own.split()) > 2 * links:
-                out.append(own)
-    return "\n".join(out)
+                yield n, own
+
+
+def dense_markdown(root: Node) -> str:
+    """The blocks of :func:`dense_text` as markdown: headings, list items, quotes, code, links."""
+    out = []
+    for n, own in _dense_blocks(root):
+        if n.tag == "pre":
+            out.append(f"```\n{''.join(n.raw()).strip()}\n```")
+            continue
+        text = " ".join(_inline(n)) or own
+        out.append({"li": "- ", "blockquote": "> "}.get(n.tag, "#" * int(n.tag[1]) + " " if re.fullmatch("h[1-6]", n.tag) else "") + text)
+    return "\n\n".join(out)
+
+
+def _inline(node: Node) -> list[str]:
+    """Pieces of a block's text: links and strong words marked, inner blocks left out."""
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            if c.strip():
+                out.append(" ".join(c.split()))
+            continue
+        inner = " ".join(c.texts(BOILERPLATE))
+        if c.tag in BOILERPLATE or c.tag in ("p", "li", "blockquote") or not inner:
+            continue
+        if c.tag == "a" and c.attrs.get("href"):
+            out.append(f"[{inner}]({c.attrs['href'].strip()})")
+        elif c.tag in ("b", "strong"):
+            out.append(f"**{inner}**")
+        elif c.tag in ("i", "em"):
+            out.append(f"*{inner}*")
+        else:
+            stack.extend(reversed(c.children))
+    return out
+
+
+def facts(root: Node, objects: list[dict], og: dict[str, str], meta: dict[str, str]) -> dict[str, str | None]:
+    """Author, date, site name and language of a page: from its metas first, then from JSON-LD, then from its markup."""
+    low = {k.lower(): v for k, v in meta.items()}
+    ld = flatten(objects)
+    pick = lambda *xs: next((x.strip() for x in xs if x and x.strip()), None)
+    time, page = _first(root, lambda n: n.tag == "time" and n.attrs.get("datetime")), _first(root, lambda n: n.tag == "html")
+    date = pick(low.get("article:published_time"), og.get("article:published_time"), og.get("published_time"), low.get("date"), low.get("dc.date"), ld.get("datepublished"), ld.get("datecreated"), time.attrs["datetime"] if time else None)
+    day = re.match(r"\d{4}-\d{2}-\d{2}", date or "")
+    return {
+        "author": pick(low.get("author"), og.get("article:author"), ld.get("author.name"), ld.get("author")),
+        "date": day[0] if day else date,
+        "sitename": pick(og.get("site_name"), og.get("og:site_name"), ld.get("publisher.name"), ld.get("publisher")),
+        "language": pick(page.attrs.get("lang") if page else None, low.get("content-language"), ld.get("inlanguage")),
+    }
 
 
 def json_ld(root: Node) -> list[dict]:
@@ -170,7 +232,7 @@ def json_ld(root: Node) -> list[dict]:
         if n.tag == "script" and "ld+json" in n.attrs.get("type", "").lower():
             try:
                 data = json.loads("".join(c for c in n.children if isinstance(c, str)))
-            except ValueError:
+            except (ValueError, RecursionError, MemoryError):  # markup of a foreign page must not end the job
                 continue
             for x in data if isinstance(data, list) else [data]:
                 graph = x.get("@graph") if isinstance(x, dict) else None
@@ -178,34 +240,37 @@ def json_ld(root: Node) -> list[dict]:
     return out[:MAX_OBJECTS]
 
 
-def flatten(objects: list[dict]) -> dict[str, str]:
-    """Leaf and dotted keys, the first of each; lists by their first element; keys with @ left out; depth 6."""
-    out: dict[str, str] = {}
-
-    def add(key: str, value) -> None:
-        if value is not None and not isinstance(value, (dict, list)):
-            out.setdefault(key, json.dumps(value) if isinstance(value, bool) else str(value))
-
-    def visit(obj: dict, prefix: str, depth: int) -> None:
-        for k, v in obj.items():
-            if k.startswith("@"):
-                continue
-            name = f"{prefix}.{k}" if prefix else k
-            while isinstance(v, list):
-                v = v[0] if v else None
-            if isinstance(v, dict):
-                leaves = {a: b for a, b in v.items() if not a.startswith("@")}
-                if len(leaves) == 1 and not isinstance(next(iter(leaves.values())), (dict, list)):
-                    add(k, next(iter(leaves.values())))
-                if depth < 6:
-                    visit(v, name, depth + 1)
-                continue
-            add(name, v)
-            if prefix:
-                add(k, v)
-
-    for o in objects:
-        visit(o, "", 1)
+def flatten(objects: list[dict]) -> dict[str, str | None]:
+    """Dotted keys of all leaves in lower case, the first of each; a list counts by its first element.
+
+    An object with one of the leaves COLLAPSING is its parent key's value too. Keys with
+    @ are left out, and what is nested deeper than MAX_DEPTH.
+    """
+    out: dict[str, str | None] = {}
+    simple = lambda v: not isinstance(v, (dict, list))
+    work = [("", o, 0) for o in reversed(objects)]
+    while work:
+        name, value, depth = work.pop()
+        if simple(value):
+            if name:
+                out.setdefault(name, value if value is None or isinstance(value, str) else json.dumps(value))
+        elif isinstance(value, list):
+            # a list in a list has no value
+            if value and not isinstance(value[0], list):
+                work.append((name, value[0], depth))
+        elif depth <= MAX_DEPTH:
+            below = []
+            for k, v in value.items():
+                if k.startswith("@"):
+                    continue
+                dotted = f"{name}.{k.lower()}" if name else k.lower()
+                if isinstance(v, dict):
+                    named = {x.lower(): y for x, y in reversed(v.items())}
+                    leaf = next((named[x] for x in COLLAPSING if x in named), {})
+                    if simple(leaf):
+                        below.append((dotted, leaf, depth + 1))
+                below.append((dotted, v, depth + 1))
+            work += reversed(below)
     return out
 
 
@@ -332,7 +397,26 @@ def join_url(base: str, href: str) -> str:
         return ""
 
 
-SIGNALS = "title string, description string, author string, main string, dense string, raw string, json_ld array<string>, json_ld_fields map<string,string>, og map<string,string>, meta map<string,string>, microdata map<string,string>, pairs map<string,string>, next_href string, hidden_removed int, visible_main string, elements array<struct<role:string,name:string>>"
+SIGNALS = "title string, description string, author string, main string, dense string, markdown string, date string, sitename string, language string, raw string, json_ld array<string>, json_ld_fields map<string,string>, og map<string,string>, meta map<string,string>, microdata map<string,string>, pairs map<string,string>, fields array<struct<rank:int,place:int,name:string,value:string>>, next_href string, hidden_removed int, visible_main string, elements array<struct<role:string,name:string>>"
+
+
+def _dumped(value: dict) -> str | None:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except (RecursionError, MemoryError):
+        return None
+
+
+def named_fields(out: dict) -> list[dict]:
+    """(rank of the source, place, name, value) of all signals; of names of one source that normalise alike the last value stays, at the first place."""
+    rows = []
+    for rank, source in enumerate(SOURCES):
+        kept: dict[str, dict] = {}
+        for place, (key, value) in enumerate(out[source]):
+            name = re.sub(r"\s+", " ", re.sub(r"[_\-.]+", " ", key.strip(" ").lower()), flags=re.ASCII).strip(" ")
+            kept.setdefault(name, {"rank": rank, "place": place, "name": name})["value"] = value
+        rows += kept.values()
+    return rows
 
 
 def signals(html: str | None) -> dict:
@@ -345,11 +429,12 @@ def signals(html: str | None) -> dict:
     out = {
         "title": " ".join(title.texts()) if title else None,
         "description": low.get("description"),
-        "author": low.get("author"),
+        **facts(root, objects, og, meta),
         "main": main_text(root),
         "dense": dense_text(root),
+        "markdown": dense_markdown(root),
         "raw": "\n".join(root.texts({"script", "style", "noscript"})),
-        "json_ld": [json.dumps(o, ensure_ascii=False) for o in objects],
+        "json_ld": [x for x in map(_dumped, objects) if x],
         "json_ld_fields": list(flatten(objects).items()),
         "og": list(og.items()),
         "meta": list(meta.items()),
@@ -358,6 +443,7 @@ def signals(html: str | None) -> dict:
         "next_href": next_link(root),
         "elements": interactive(root),
     }
+    out["fields"] = named_fields(out)
     out["hidden_removed"] = strip_hidden(root, comments)
     out["visible_main"] = main_text(root)
     return out
@@ -366,12 +452,13 @@ def signals(html: str | None) -> dict:
 def with_signals(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages with one more column `signals`; each page is parsed once."""
 
-    @F.arrow_udf(f"struct<{SIGNALS.replace(' string', ':string').replace(' array', ':array').replace(' map', ':map').replace(' int', ':int')}>")
+    @F.arrow_udf(f"struct<{re.sub(r"(\w) (string|array|map|int)", r"\1:\2", SIGNALS)}>")
     def read(col: pa.Array) -> pa.Array:
         kind = pa.struct(
-            [(k, pa.string()) for k in ("title", "description", "author", "main", "dense", "raw")]
+            [(k, pa.string()) for k in ("title", "description", "author", "main", "dense", "markdown", "date", "sitename", "language", "raw")]
             + [("json_ld", pa.list_(pa.string()))]
             + [(k, pa.map_(pa.string(), pa.string())) for k in ("json_ld_fields", "og", "meta", "microdata", "pairs")]
+            + [("fields", pa.list_(pa.struct([("rank", pa.int32()), ("place", pa.int32()), ("name", pa.string()), ("value", pa.string())])))]
             + [("next_href", pa.string()), ("hidden_removed", pa.int32()), ("visible_main", pa.string()), ("elements", pa.list_(pa.struct([("role", pa.string()), ("name", pa.string())])))]
         )
         return pa.array([signals(x) for x in col.to_pylist()], kind)

@@ -1,13 +1,13 @@
 """Schema-guided fields: for each asked field the first source with a matching key and a value.
 
-Everything after parsing is relational: signals become rows (page, source, key,
-value, place), fields are a small table, and a rank over (source, tier, place)
-picks one value.
+A page is parsed once and gives rows (source, place, name, value). Each meets the asked
+fields, a table of `max_fields` rows at most, and the least (source, tier, place) of a
+field gives its value: a minimum, which is formed before the one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import text as tx
@@ -25,7 +25,6 @@ ALIASES = [
     ["image", "photo", "picture", "thumbnail", "img"],
     ["currency", "pricecurrency"],
 ]
-SOURCES = ["json_ld_fields", "og", "meta", "microdata", "pairs"]
 NAMES = ["json-ld", "opengraph", "meta", "microdata", "dom"]
 
 
@@ -41,33 +40,26 @@ def schema_table(spark: SparkSession, schema: dict[str, str] | list[str], max_fi
     return rows.withColumn("aliases", F.array_union("tokens", F.flatten("axes"))).withColumn("hints", tx.name_tokens(tx.normalize_name(F.regexp_replace("described", r"[^A-Za-z0-9]+", " ")))).drop("described")
 
 
-def signal_rows(pages: DataFrame, key: str) -> DataFrame:
-    """(key, source, rank, place, name, value) of a page's signals; of names that normalise alike the last stays."""
-    out = None
-    for rank, (col, name) in enumerate(zip(SOURCES, NAMES, strict=True)):
-        rows = pages.select(key, F.posexplode(F.map_entries(f"signals.{col}")).alias("place", "e")).select(key, F.lit(name).alias("source"), F.lit(rank).alias("rank"), "place", tx.normalize_name(F.col("e.key")).alias("name"), F.col("e.value").alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy(key, "source", "rank", "name").agg(F.max_by("value", "place").alias("value"), F.min("place").alias("place"))
-
-
 def resolve(pages: DataFrame, fields: DataFrame, key: str, max_chars: int = 4000) -> DataFrame:
     """(key, field, value, number, source): one row per page and field; value and source are null if unresolved."""
-    s = signal_rows(pages, key).withColumn("ktokens", tx.name_tokens(F.col("name")))
+    s = pages.select(key, F.explode_outer("signals.fields").alias("e")).select(key, "e.*").withColumn("ktokens", tx.name_tokens(F.col("name")))
     text, number = tx.coerce(F.col("value"), max_chars)
-    s = s.withColumn("text", text).withColumn("number", number).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    s = s.withColumns({"text": text, "number": number})
     small = (F.size("tokens") > 1) | (F.size("ktokens") <= 2)
     axis = F.exists("axes", lambda g: F.arrays_overlap(g, F.col("ktokens")))
     common = F.size(F.array_intersect("ktokens", F.array_union("tokens", "hints")))
     tier = (
-        F.when(F.col("name") == F.col("norm"), 1)
+        F.when(F.coalesce(F.col("text"), F.lit("")) == "", None)
+        .when(F.col("name") == F.col("norm"), 1)
         .when(small & F.arrays_overlap("ktokens", "aliases") & (F.arrays_overlap("ktokens", "tokens") | axis), 2)
         .when(small & (F.size(F.array_except("tokens", "ktokens")) == 0), 3)
         .when(small & (common > 0), 4)
     )
-    met = s.crossJoin(F.broadcast(fields)).withColumn("tier", tier).where("tier is not null").withColumn("common", F.when(F.col("tier") == 4, -common).otherwise(0))
-    best = met.withColumn("r", F.row_number().over(Window.partitionBy(key, "field").orderBy("rank", "tier", "common", "place"))).where("r = 1")
-    found = best.select(key, "field", F.col("text").alias("value"), "number", "source")
-    return pages.select(key).crossJoin(F.broadcast(fields.select("field", "pos"))).join(found, [key, "field"], "left")
+    met = s.crossJoin(F.broadcast(fields)).withColumn("tier", tier).withColumn("shared", F.when(F.col("tier") == 4, -common).otherwise(0))
+    best = F.min(F.when(F.col("tier").isNotNull(), F.struct("rank", "tier", "shared", "place", "text", "number")))
+    found = met.groupBy(key, "field", "pos").agg(best.alias("best"))
+    names = F.array(*[F.lit(n) for n in NAMES])
+    return found.select(key, "field", "pos", F.col("best.text").alias("value"), F.col("best.number").alias("number"), F.get(names, F.col("best.rank")).alias("source"))
 
 
 def unresolved(resolved: DataFrame, key: str) -> DataFrame:
