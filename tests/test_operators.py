@@ -64,21 +64,24 @@ def test_rate_limits(spark):
     assert [r["granted"] for r in timing.rate_limit(a, "g", "at", F.lit(0.5)).orderBy("event_id").collect()] == [0, 0.5, 1.0, 5.0]
     rng = random.Random(3)
     calls = sorted((f"g{rng.randrange(3)}", round(rng.random() * 30, 2), rng.choice([200, 200, 429]), rng.choice([None, 3.0, 900.0])) for _ in range(80))
-    df = spark.createDataFrame(calls, "g string, at double, status int, retry_after double")
-    got = rows(timing.rate_limit_with_backoff(df, "g", "at", gap=0.5, most=10), "g", "at", "granted")
+    calls = [(None if g == "g2" else g, *rest) for g, *rest in calls]  # a null group is a group
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(calls)], "g string, at double, status int, retry_after double, event_id int")
+    got = [tuple(r) for r in timing.rate_limit_with_backoff(df, "g", "at", gap=0.5, most=10).select("event_id", "g", "at", "granted").orderBy("event_id").collect()]
     want, free = [], {}
     for g, t, status, wait in calls:
         at = max(t, free.get(g, float("-inf")))
         free[g] = at + 0.5
         if status == 429:
             free[g] = max(free[g], at + min(max(wait or 0, 1.0), 10))
-        want.append((g, t, at))
-    assert got == sorted(want)
+        want.append((len(want), g, t, at))
+    assert got == want
 
 
 def test_breaker_sessions_asof(spark):
     c = spark.createDataFrame([("g", float(t), bad, i) for i, (t, bad) in enumerate([(0, True), (10, False), (60, True), (100, False), (121, False), (122, True)])], "g string, at double, trip boolean, event_id long")
     assert [r["allowed"] for r in timing.circuit_breaker(c, "g", "at", trips="trip", cooldown=60).orderBy("event_id").collect()] == [True, False, True, False, True, True]
+    c = spark.createDataFrame([(None, 0.0, True, 1), (None, 10.0, False, 2), (None, 10.0, True, 3)], "g long, at double, trip boolean, event_id long")
+    assert [r["allowed"] for r in timing.circuit_breaker(c, "g", "at", trips="trip", cooldown=60).orderBy("event_id").collect()] == [True, False, False]
     e = spark.createDataFrame([("u", t) for t in (0, 10, 20, 31)], "u string, at long")
     assert rows(timing.idle_sessions(e, "u", "at", 10), "session") == [("u", 0, 0, 20, 3), ("u", 1, 31, 31, 1)]
     left = spark.createDataFrame([("k", 5, 1), ("k", 50, 2), ("j", 5, 3)], "k string, at long, id int")

@@ -241,3 +241,48 @@ def _challenge(low: Column, shaped: Column, denial: Column, status: Column, head
 
 def _simple(vendor: str, kind: str, order: int, candidate, confidence) -> Callable[[Column], Column]:
     return lambda hit: F.when(F.size(hit) > 0, candidate(F.lit(vendor), F.lit(kind), confidence(F.size(hit), F.lit(0)), hit, F.size(hit), order))
+
+
+# Signs that a search engine or a browser refuses, in errors, addresses and markup.
+RATE_MARKS = ["ratelimit", "rate limit", "202 ratelimit"]
+RACE_MARKS = ["navigating and changing", "page is navigating"]
+ANOMALY_MARKS = ["anomaly in your", "unfortunately, bots", "if this error persists"]
+CAPTCHA_MARKUP = r"(?is)<form\b[^>]*\bid\s*=\s*[\"']?captcha-form\b|<div\b[^>]*\bid\s*=\s*[\"']?recaptcha\b|<iframe\b[^>]*\bsrc\s*=\s*[\"']?[^\"'>]*recaptcha"
+ANOMALY_MARKUP = r"(?is)<form\b[^>]*\bid\s*=\s*[\"']?challenge-form\b|<input\b[^>]*\bname\s*=\s*[\"']?anomaly_token\b"
+
+
+def _any_of(text: Column, marks: list[str]) -> Column:
+    return F.exists(_lits(marks), lambda m: text.contains(m))
+
+
+def rate_limited(error: Column, message: Column) -> Column:
+    """Whether an error, by its class or its message, says that a provider limits or blocks."""
+    name = F.lower(F.coalesce(error, F.lit("")))
+    return (name.contains("rate") & name.contains("limit")) | _any_of(F.lower(F.coalesce(message, F.lit(""))), RATE_MARKS)
+
+
+def navigation_race(message: Column) -> Column:
+    """Whether an error says that the page was still changing."""
+    return _any_of(F.coalesce(message, F.lit("")), RACE_MARKS)
+
+
+def search_refused(url: Column, html: Column, engine: Column) -> Column:
+    """Whether a result page is a wall of its engine instead: `google` shows a captcha, `duckduckgo` an anomaly page."""
+    u, h = F.lower(F.coalesce(url, F.lit(""))), F.coalesce(html, F.lit(""))
+    captcha = u.contains("/sorry/") | u.contains("captcha") | h.rlike(CAPTCHA_MARKUP)
+    anomaly = u.contains("anomaly") | u.contains("/sorry") | h.rlike(ANOMALY_MARKUP) | _any_of(F.lower(F.left(visible_text(h), F.lit(600))), ANOMALY_MARKS)
+    return F.when(engine == "google", captcha).when(engine == "duckduckgo", anomaly).otherwise(False)
+
+
+def blocked_row(url: Column, final_url: Column, status: Column, html: Column, found: Column) -> Column:
+    """struct of a read that a standing wall stopped: the wall's page, what it is, and what can be done."""
+    said = F.concat(
+        F.lit("Blocked by "), found["vendor"], F.lit(" "), found["kind"], F.lit(" (confidence "), F.format_string("%.2f", found["confidence"]), F.lit("). Do not retry at once: wait a minute or more, use a signed-in profile, ask a person, or read another source."),
+    )
+    whole = F.coalesce(F.nullif(final_url, F.lit("")), url)
+    return F.struct(url.alias("url"), whole.alias("final_url"), status.alias("status_code"), F.lit("blocked").alias("status"), F.nullif(html, F.lit("")).alias("html"), found.alias("challenge"), said.alias("error_message"))
+
+
+def mark_resolution(found: Column, succeeded: Column) -> Column:
+    """The challenge with what became of an attempt to resolve it."""
+    return found.withField("resolution_attempted", F.lit(True)).withField("resolution_succeeded", succeeded)

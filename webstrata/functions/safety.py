@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import json
 import re
 import socket
 from urllib.robotparser import RobotFileParser
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import detect, urls
+from webstrata.functions import text as tx
 
 
 def private_address(host: str | None) -> bool:
@@ -34,13 +36,13 @@ def private_address(host: str | None) -> bool:
 
 
 def is_private(host: Column) -> Column:
-    """Native tests first; only hosts that look like an unusual literal go through Python."""
+    """Native tests first; of other hosts only unusual literals reach the Python function, the rest go as null."""
 
     @F.arrow_udf("boolean")
     def odd(hosts: pa.Array) -> pa.Array:
-        return pa.array([private_address(h) for h in hosts.to_pylist()], pa.bool_())
+        return pa.array([h is not None and private_address(h) for h in hosts.to_pylist()], pa.bool_())
 
-    return urls.is_private_literal(host) | (host.rlike(r"^[0-9.]+$|^0x|\.0x|:") & odd(host))
+    return urls.is_private_literal(host) | odd(F.when(host.rlike(r"^[0-9.]+$|^0x|\.0x|:") & ~urls.is_private_literal(host), host))
 
 
 def robots_allowed(rows: DataFrame, robots: DataFrame, url: str = "url", agent: str = "*") -> DataFrame:
@@ -92,3 +94,65 @@ def redacted(text: Column, mask: str = "[redacted]") -> Column:
         return pa.array([{"text": t, "count": n} for t, n in got], pa.struct([("text", pa.string()), ("count", pa.int32())]))
 
     return run(text)
+
+
+def canonical_host(host: Column) -> Column:
+    """Version 6 addresses in their shortest form; all other hosts as they are. Only hosts with a colon reach Python."""
+
+    @F.arrow_udf("string")
+    def short(hosts: pa.Array) -> pa.Array:
+        out = []
+        for h in hosts.to_pylist():
+            try:
+                out.append(None if h is None else ipaddress.ip_address(h).compressed)
+            except ValueError:
+                out.append(h)
+        return pa.array(out, pa.string())
+
+    return F.when(host.contains(":"), short(F.when(host.contains(":"), host))).otherwise(host)
+
+
+def encodable(host: Column) -> Column:
+    """Whether a host can be a name at all: labels of 1 to 63 characters; others than ASCII are tried by Python."""
+
+    @F.arrow_udf("boolean")
+    def odd(hosts: pa.Array) -> pa.Array:
+        out = []
+        for h in hosts.to_pylist():
+            try:
+                out.append(h is not None and bool(h.encode("idna")))
+            except UnicodeError:
+                out.append(False)
+        return pa.array(out, pa.bool_())
+
+    ascii_ = host.rlike(r"^\p{ASCII}*$")
+    plain = host.rlike(r"^[^.]{1,63}(?:\.[^.]{1,63})*\.?$")
+    return F.coalesce(F.when(ascii_, plain).otherwise(odd(F.when(~ascii_, host))), F.lit(False))
+
+
+_SECRET = re.compile(tx.SECRET)
+
+
+def _masked_value(key: str, value: object) -> object:
+    if _SECRET.search(key):
+        return tx.REDACTED
+    if isinstance(value, dict):
+        return {k: _masked_value(k, v) for k, v in value.items()}
+    return [_masked_value(key, v) for v in value] if isinstance(value, list) else value
+
+
+def redact_json(text: Column) -> Column:
+    """A JSON object with the values of secret keys masked at any depth; null and what is no object give `{}`."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                data = json.loads(t or "{}")
+                out.append(json.dumps({k: _masked_value(k, v) for k, v in data.items()} if isinstance(data, dict) else {}, ensure_ascii=False))
+            except (ValueError, RecursionError, MemoryError):
+                out.append("{}")
+        return pa.array(out, pa.string())
+
+    return run(text)

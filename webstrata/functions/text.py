@@ -142,3 +142,35 @@ def decode_body(body: Column, cap: int) -> tuple[Column, Column]:
 
 def clamp(n: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(n, F.lit(high)))
+
+
+def invisible_count(text: Column) -> Column:
+    """How many characters :func:`visible` takes out."""
+    return F.length(text) - F.length(visible(text))
+
+
+def shaped(markdown: Column, content: Column, cap: Column, offset: Column, form: str | None = None, tool: str = "this tool") -> Column:
+    """struct(markdown, content, total_chars, offset, next_offset, truncated, hint): one form of a page, a window of it.
+
+    Markdown is preferred unless `form` is text; what isn't shown is null. `cap` is
+    held between 1 and a million.
+    """
+    md = F.lit(None).cast("string") if form == "text" else markdown
+    whole = F.coalesce(md, content)
+    start = F.greatest(F.lit(0), offset)
+    piece, follows = window(whole, start, clamp(cap, 1, 1_000_000))
+    hint = F.concat(F.lit("content truncated at "), follows.cast("string"), F.lit(" of "), F.length(whole).cast("string"), F.lit(f" chars; call {tool} with offset="), follows.cast("string"), F.lit(" to continue"))
+    return F.struct(
+        F.when(md.isNotNull(), piece).alias("markdown"), F.when(md.isNull(), piece).alias("content"), F.length(whole).alias("total_chars"), start.alias("offset"),
+        follows.alias("next_offset"), F.coalesce(follows.isNotNull(), F.lit(False)).alias("truncated"), hint.alias("hint"),
+    )
+
+
+def captured(content: Column, evaluated: Column, snapshot: Column) -> Column:
+    """struct(html, source): the first of three captures of a page that isn't null."""
+    return F.struct(F.coalesce(content, evaluated, snapshot).alias("html"), F.when(content.isNotNull(), "content").when(evaluated.isNotNull(), "evaluate").when(snapshot.isNotNull(), "cdp").alias("source"))
+
+
+def document_title(title: Column) -> Column:
+    """A title from a file's properties; blank ones are none."""
+    return F.nullif(F.trim(title), F.lit(""))

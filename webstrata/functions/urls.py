@@ -192,9 +192,27 @@ def gate(url: Column, *, deny: list[str] | None = None, allow: list[str] | None
 
 
 def agent_family(text: Column) -> Column:
-    """Operating system named in a user agent: windows, macos, linux, android, ios; else null."""
+    """Desktop family named in a user agent: windows, macos or linux; else null."""
     t = F.lower(text)
-    return F.when(t.contains("windows"), "windows").when(t.contains("android"), "android").when(t.contains("iphone") | t.contains("ipad"), "ios").when(t.contains("mac os"), "macos").when(t.contains("linux") | t.contains("x11"), "linux")
+    return (
+        F.when(t.contains("windows") | t.contains("win64") | t.contains("win32"), "windows")
+        .when(t.contains("macintosh") | t.contains("mac os x"), "macos")
+        .when(t.contains("linux") | t.contains("x11"), "linux")
+    )
+
+
+def locale_family(locale: Column) -> Column:
+    """The family that goes with a locale: one for all, also for none."""
+    return F.when(locale.isNull(), "windows").otherwise("windows")
+
+
+def pick_agent(family: Column, draw: Column, pool: dict[str, list[str]]) -> Column:
+    """An agent of the family, by a whole number `draw`; of all families where it has none."""
+    everyone = F.array(*[F.lit(a) for agents in pool.values() for a in agents])
+    own = everyone
+    for name, agents in pool.items():
+        own = F.when(F.lower(family) == name, F.array(*[F.lit(a) for a in agents])).otherwise(own)
+    return F.get(own, F.pmod(draw, F.size(own)).cast("int"))
 
 
 def safe_file_name(value: Column) -> Column:

@@ -9,7 +9,7 @@ from webstrata.functions import text as tx
 from webstrata.functions import urls
 
 # What tells a tracker's address.
-TRACKERS = r"(?i)google-analytics|googletagmanager|doubleclick|segment\.(?:io|com)|mixpanel|amplitude|hotjar|sentry|/collect\b|/beacon\b|/telemetry\b"
+TRACKERS = r"(?i)(?:analytics|telemetry|tracking|/track\b|/collect\b|beacon|segment|google-analytics|googletagmanager|gtag|/gtm\b|doubleclick|/pixel\b|/stats\b|/metrics\b|/rum\b|/log(?:s|ging)?\b)"
 
 
 def of_types(events: DataFrame, types: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +13,9 @@ HREF = r"(?i)href\s*=\s*[\"']([^\"']+)[\"']"
 NOT_PAGES = r"(?i)^(?:mailto:|javascript:|tel:|data:|ftp:|file:|about:|blob:)"
 
 
-def raw_links(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, href) of every href attribute in the markup, in order; scripts and comments count too."""
-    return pages.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(HREF), 1)).alias("pos", "href")).withColumn("href", F.trim("href"))
+def raw_links(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
+    """(key, base, pos, href) of every href attribute in the markup, in order; scripts and comments count too."""
+    return pages.select(F.col(key), F.col(url).alias("base"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(HREF), 1)).alias("pos", "href")).withColumn("href", F.trim("href"))
 
 
 def extract_links(pages: DataFrame, *, key: str = "page_id", url: str = "url", text: str = "html", wide: bool = False, cap: int = 200, include: list[str] | None = None, exclude: list[str] | None = None, in_python: bool = False) -> DataFrame:
@@ -22,7 +23,7 @@ def extract_links(pages: DataFrame, *, key: str = "page_id", url: str = "url", t
 
     in_python resolves dot segments too; the native form covers all other references.
     """
-    rows = raw_links(pages.select(key, F.col(url).alias("base"), F.col(text).alias("__t")), key, "__t").join(pages.select(key, F.col(url).alias("base")), key)
+    rows = raw_links(pages, key, url, text)
     rows = rows.where((F.col("href") != "") & ~F.col("href").startswith("#") & ~F.col("href").rlike(NOT_PAGES))
     target = html.resolved(F.col("base"), F.col("href")) if in_python else urls.without_fragment(urls.resolve(F.col("base"), F.col("href")))
     rows = rows.withColumn("link", target).where(F.col("link").rlike(r"(?i)^https?://"))
@@ -53,7 +54,7 @@ def first_occurrence(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def offsite_count(pages: DataFrame, *, key: str = "page_id", url: str = "url", text: str = "html", wide: bool = False) -> DataFrame:
     """(key, n): distinct http(s) links that leave the page's scope."""
-    rows = raw_links(pages.select(key, F.col(text).alias("__t")), key, "__t").join(pages.select(key, F.col(url).alias("base")), key)
+    rows = raw_links(pages, key, url, text)
     link = urls.without_fragment(urls.resolve(F.col("base"), F.col("href")))
     rows = rows.where(~F.col("href").startswith("#") & ~F.col("href").rlike(NOT_PAGES)).withColumn("link", link).where(F.col("link").rlike(r"(?i)^https?://"))
     out = F.when(~urls.in_scope(urls.host(F.col("link")), urls.host(F.col("base")), wide), F.col("link"))
@@ -66,9 +67,9 @@ def seed_sitemap(maps: DataFrame, root: str, scope: str, *, wide: bool = False,
     maps: (url, xml). What isn't in the table counts as unreadable.
     """
 
-    @F.udf("array<string>")
-    def locations(xml: str) -> list[str]:
-        return html.sitemap_locations(xml or "", cap)[0]
+    @F.arrow_udf("array<string>")
+    def locations(xml: pa.Array) -> pa.Array:
+        return pa.array([html.sitemap_locations(x or "", cap)[0] for x in xml.to_pylist()], pa.list_(pa.string()))
 
     m = maps.withColumn("index", F.col("xml").rlike("(?i)<sitemapindex")).withColumn("locs", locations("xml"))
     top = m.where(F.col("url") == root)

@@ -18,51 +18,69 @@ def rate_limit(arrivals: DataFrame, by: str, at: str, gap: Column) -> DataFrame:
     return rows.withColumn("granted", F.col("__n") * gap + lead).drop("__n")
 
 
-def rate_limit_with_backoff(calls: DataFrame, by: str, at: str, *, gap: float, most: float = 300.0) -> DataFrame:
+def _same(a: object, b: object) -> bool:
+    """Whether two group keys are one; null is a group of its own."""
+    return a == b or (b is not None and not isinstance(b, _Start) and pd.isna(a) and pd.isna(b)) or (a is None and b is None)
+
+
+class _Start:
+    """Stands for the group before the first row."""
+
+
+def _streamed(calls: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """Each group in one partition, in order; groups follow one another."""
+    return calls.repartition(F.col(by)).sortWithinPartitions(by, *order)
+
+
+def rate_limit_with_backoff(calls: DataFrame, by: str, at: str, *, gap: float, most: float = 300.0, tie: str = "event_id") -> DataFrame:
     """`granted` where responses of 429 push the next grant by min(max(retry_after, 2 gap), most).
 
-    calls: group, time, status, retry_after (seconds, null). A group's calls are in
-    time order; each group's state is two numbers, rows stream through in batches.
+    calls: group, time, status, retry_after (seconds, null), and `tie`, which orders calls
+    of one time and names them in the result. Each group's state is one number, rows
+    stream through in batches. A null group is a group.
     """
-    schema = f"{by} {calls.schema[by].dataType.simpleString()}, {at} double, granted double"
-    rows = calls.select(by, F.col(at).cast("double").alias(at), "status", F.col("retry_after").cast("double").alias("retry_after")).repartition(F.col(by)).sortWithinPartitions(by, at)
+    schema = f"{by} {calls.schema[by].dataType.simpleString()}, {at} double, {tie} {calls.schema[tie].dataType.simpleString()}, granted double"
+    rows = _streamed(calls.select(by, F.col(at).cast("double").alias(at), tie, "status", F.col("retry_after").cast("double").alias("retry_after")), by, [at, tie])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, free = object(), float("-inf")
+        group, free = _Start(), float("-inf")
         for batch in batches:
-            out = []
+            granted = []
             for g, a, status, wait in batch[[by, at, "status", "retry_after"]].itertuples(index=False):
-                if g != group:
+                if not _same(g, group):
                     group, free = g, float("-inf")
                 t = max(a, free)
                 free = t + gap
                 if status == 429:
                     free = max(free, t + min(max(0.0 if pd.isna(wait) else wait, 2 * gap), most))
-                out.append((g, a, t))
-            yield pd.DataFrame(out, columns=[by, at, "granted"])
+                granted.append(t)
+            yield batch[[by, at, tie]].assign(granted=granted)
 
     return rows.mapInPandas(run, schema)
 
 
-def circuit_breaker(calls: DataFrame, by: str, at: str, *, trips: str, cooldown: float) -> DataFrame:
-    """`allowed`: false within `cooldown` of the last trip; an allowed failure trips anew, an allowed success clears."""
-    kind = calls.schema[by].dataType.simpleString()
-    rows = calls.select(by, F.col(at).cast("double").alias(at), F.col(trips).cast("boolean").alias("trip"), "event_id").repartition(F.col(by)).sortWithinPartitions(by, at, "event_id")
+def circuit_breaker(calls: DataFrame, by: str, at: str, *, trips: str, cooldown: float, tie: str = "event_id") -> DataFrame:
+    """`allowed`: false within `cooldown` of the last trip; an allowed failure trips anew, an allowed success clears.
+
+    `tie` orders calls of one time and names them in the result. A null group is a group.
+    """
+    schema = f"{by} {calls.schema[by].dataType.simpleString()}, {at} double, {tie} {calls.schema[tie].dataType.simpleString()}, allowed boolean"
+    rows = _streamed(calls.select(by, F.col(at).cast("double").alias(at), tie, F.coalesce(F.col(trips).cast("boolean"), F.lit(False)).alias("trip")), by, [at, tie])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, tripped = object(), None
+        group, tripped = _Start(), None
         for batch in batches:
-            out = []
-            for g, a, trip, i in batch[[by, at, "trip", "event_id"]].itertuples(index=False):
-                if g != group:
+            allowed = []
+            for g, a, trip in batch[[by, at, "trip"]].itertuples(index=False):
+                if not _same(g, group):
                     group, tripped = g, None
                 ok = tripped is None or a - tripped >= cooldown
                 if ok:
                     tripped = a if trip else None
-                out.append((g, a, i, ok))
-            yield pd.DataFrame(out, columns=[by, at, "event_id", "allowed"])
+                allowed.append(ok)
+            yield batch[[by, at, tie]].assign(allowed=allowed)
 
-    return rows.mapInPandas(run, f"{by} {kind}, {at} double, event_id long, allowed boolean")
+    return rows.mapInPandas(run, schema)
 
 
 def idle_sessions(events: DataFrame, by: str, at: str, gap: int) -> DataFrame:
@@ -114,3 +132,8 @@ def exhausted(heights: DataFrame, by: str, order: str, height: str, rounds: int,
 def first_containing(steps: DataFrame, by: str, order: str, text: str, needle: str) -> DataFrame:
     """The first step whose text holds the needle; null if none does."""
     return steps.groupBy(by).agg(F.min(F.when(F.col(text).contains(needle), F.col(order))).alias("step"))
+
+
+def retry_delay(attempt: Column, base: Column, most: Column, draw: Column) -> Column:
+    """Seconds before a retry: min(base * 2^(attempt - 1), most), times a factor from 0.5 to 1 by `draw` (0 to 1)."""
+    return F.least(base * F.pow(F.lit(2.0), attempt - 1), most) * (F.lit(0.5) + F.lit(0.5) * draw)
