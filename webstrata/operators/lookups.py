@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions import urls
+
 
 def host_suffixes(host):
     """The host and all its parent domains."""
@@ -38,3 +40,17 @@ def override(*sources: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in out.columns if c not in keys and c != "__rank"]
     best = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__rank").alias("__row"))
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+def cookies_for(rows: DataFrame, cookies: DataFrame, key: str, url: str = "url") -> DataFrame:
+    """(key, name, value, domain): cookies that may go with a request.
+
+    Their domain is the host or a parent of it; a cookie without a domain, or with a
+    null one, belongs to the host; a secure one goes with https only.
+    cookies: (name, value, domain, secure).
+    """
+    asked = rows.select(key, urls.host(F.col(url)).alias("host"), F.lower(F.col(url)).startswith("https:").alias("https")).where("host <> ''")
+    jar = cookies.select("name", "value", F.lower(F.regexp_replace(F.coalesce("domain", F.lit("")), r"^\.+", "")).alias("domain"), F.coalesce("secure", F.lit(False)).alias("secure"))
+    ends = asked.withColumn("d", F.explode(F.concat(F.array(F.lit("")), host_suffixes(F.col("host")))))
+    met = ends.join(jar.withColumnRenamed("domain", "d"), "d").where(F.col("https") | ~F.col("secure"))
+    return met.select(key, "name", "value", F.when(F.col("d") == "", F.col("host")).otherwise(F.col("d")).alias("domain"))

@@ -31,9 +31,16 @@ def cap_series(calls: DataFrame, name: str, key: str, order: str, most: int) ->
     return out.withColumn(key, F.when(F.col("__rank") > most, F.concat(F.col(name), F.lit("{__overflow__=_other}"))).otherwise(F.col(key))).drop("__rank")
 
 
-def snapshot(totals: DataFrame, key: str = "key", value: str = "total") -> DataFrame:
-    """One row: all series as a map. Series are bounded by the label cap."""
-    return totals.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("series"))
+def snapshot(totals: DataFrame, key: str = "key", value: str = "total", *, since: float | None = None, now: float | None = None) -> DataFrame:
+    """One row: all series as a map, and the seconds since counting began. Series are bounded by the label cap."""
+    out = totals.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("series"))
+    return out if since is None or now is None else out.withColumn("uptime_s", F.lit(max(0.0, now - since)))
+
+
+def since_reset(calls: DataFrame, resets: DataFrame, at: str = "at") -> DataFrame:
+    """Calls after the last reset. resets: one column of times, maybe empty."""
+    last = resets.agg(F.max(resets.columns[0]).alias("__reset"))
+    return calls.crossJoin(F.broadcast(last)).where(F.col("__reset").isNull() | (F.col(at) > F.col("__reset"))).drop("__reset")
 
 
 def fetch_outcomes(fetches: DataFrame) -> DataFrame:
@@ -47,8 +54,43 @@ def risk_rollup(pages: DataFrame, by: str, rank: str = "rank") -> DataFrame:
     return pages.groupBy(by).agg(F.max(rank).alias("__r"), F.count_if(F.col(rank) > 0).alias("n_risky")).select(by, F.element_at(names, F.greatest(F.col("__r"), F.lit(0)) + 1).alias("worst"), "n_risky")
 
 
-def crawl_summary(pages: DataFrame, by: str) -> DataFrame:
-    return pages.groupBy(by).agg(F.count(F.lit(1)).alias("pages"), F.max("depth").alias("max_depth"), F.sum("length").alias("chars"), F.count_if(~F.col("ok")).alias("failed"))
+def crawl_summary(pages: DataFrame, by: str, links: DataFrame | None = None) -> DataFrame:
+    """Per crawl: pages, greatest depth, characters, failed and disallowed pages; with links, what was discovered and left aside.
+
+    pages: (by, url, depth, length, status). links: (by, url, offsite) as seen on the pages.
+    """
+    out = pages.groupBy(by).agg(
+        F.count(F.lit(1)).alias("pages"), F.max("depth").alias("max_depth"), F.sum("length").alias("chars"),
+        F.count_if(~F.col("status").isin("success", "blocked")).alias("failed"), F.count_if(F.col("status") == "blocked").alias("disallowed"),
+    )
+    if links is None:
+        return out
+    known = pages.select(by, "url", F.lit(False).alias("offsite")).unionByName(links.select(by, "url", "offsite"))
+    seen = known.groupBy(by).agg(F.count_distinct(F.when(~F.col("offsite"), F.col("url"))).alias("discovered"), F.count_if("offsite").alias("offsite"))
+    return out.join(seen, by, "left")
+
+
+def collection_summary(pages: DataFrame, by: str, rank: str = "rank") -> DataFrame:
+    """Per collection: pages, characters, worst risk, pages at risk, and the reason it stopped.
+
+    pages: (by, step, chars, rank, stop); rows with a null `chars` are where the walk ended without a page.
+    """
+    names = F.array(*[F.lit(x) for x in ("none", "low", "medium", "high")])
+    page = F.col("chars").isNotNull()
+    out = pages.groupBy(by).agg(
+        F.count_if(page).alias("pages"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.max(F.when(page, F.col(rank))).alias("__r"),
+        F.count_if(page & (F.col(rank) > 0)).alias("n_risky"), F.max_by("stop", "step").alias("stopped_reason"),
+    )
+    return out.select(by, "pages", "chars", F.element_at(names, F.greatest(F.coalesce("__r", F.lit(0)), F.lit(0)) + 1).alias("worst"), "n_risky", "stopped_reason")
+
+
+def page_weight(responses: DataFrame, by: str) -> DataFrame:
+    """Per page: bytes of all responses, null if none is known, and the first-byte time of the first document.
+
+    responses: (by, pos, resource_type, bytes, ttfb_ms).
+    """
+    timed = (F.col("resource_type") == "document") & F.col("ttfb_ms").isNotNull()
+    return responses.groupBy(by).agg(F.sum("bytes").alias("total_bytes"), F.min_by("ttfb_ms", F.when(timed, F.col("pos"))).alias("ttfb_ms"))
 
 
 def health(checks: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ WELL_KNOWN = ["wikipedia.org", "github.com", "stackoverflow.com", "arxiv.org", "
 PROFILES = {
     "official_sources": ["ec.europa.eu", "esma.europa.eu", "eba.europa.eu", "sec.gov", "treasury.gov", "federalreserve.gov", "bis.org", "imf.org", "worldbank.org", "oecd.org", "un.org", "europa.eu", "gov", "gov.uk", "gov.in"],
     "docs": ["docs.python.org", "developer.mozilla.org", "tldp.org", "readthedocs.io", "readthedocs.org", "pkg.go.dev", "rust-lang.org", "kubernetes.io", "docs.aws.amazon.com", "cloud.google.com", "learn.microsoft.com"],
-    "research": ["arxiv.org", "ssrn.com", "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "nature.com", "science.org", "acm.org", "ieee.org", "researchgate.net"],
+    "research": ["arxiv.org", "ssrn.com", "ncbi.nlm.nih.gov", "pubmed.ncbi.nlm.nih.gov", "nature.com", "science.org", "acm.org", "ieee.org", "researchgate.net", "papers.ssrn.com", "openreview.net"],
+    "news": ["reuters.com", "apnews.com", "bbc.com", "bbc.co.uk", "ft.com", "wsj.com", "bloomberg.com", "nytimes.com", "economist.com", "axios.com", "theguardian.com"],
+    "files": ["sec.gov", "ec.europa.eu", "esma.europa.eu", "data.gov", "data.gov.uk", "github.com", "githubusercontent.com", "huggingface.co", "kaggle.com", "zenodo.org", "figshare.com"],
 }
 
 
@@ -100,3 +102,9 @@ def skip_after_failure(rows: DataFrame, by: list[str], order: str, failed: Colum
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.max(failed.cast("int")).over(w), F.lit(0))
     return rows.withColumn("state", F.when(before == 1, "skipped").when(failed, "failed").otherwise("ok"))
+
+
+def remaining_pages(rows: DataFrame, by: list[str], order: str, pages_left: str, chars_left: str) -> DataFrame:
+    """The first rows of each group, as many as it may still read; none once its characters are used up."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("__r", rank).where((F.col("__r") <= F.col(pages_left)) & (F.col(chars_left) > 0)).drop("__r")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import html, urls
+from webstrata.operators import ranking
 
 
 def json_results(answers: DataFrame, query: str, body: str, provider: str, *, list_path: str = "results", url: str = "url", snippet: str = "content") -> DataFrame:
@@ -19,9 +21,11 @@ def json_results(answers: DataFrame, query: str, body: str, provider: str, *, li
 def page_results(pages: DataFrame, query: str, body: str, provider: str) -> DataFrame:
     """The same from the markup of a result page; redirect links are unwrapped."""
 
-    @F.udf("array<struct<title:string,url:string,snippet:string>>", useArrow=True)
-    def read(markup: str):
-        return [(r["title"], r["url"], r["snippet"]) for r in html.search_results(markup or "")]
+    kind = pa.list_(pa.struct([("title", pa.string()), ("url", pa.string()), ("snippet", pa.string())]))
+
+    @F.arrow_udf("array<struct<title:string,url:string,snippet:string>>")
+    def read(markup: pa.Array) -> pa.Array:
+        return pa.array([[{k: r[k] for k in ("title", "url", "snippet")} for r in html.search_results(m or "")] for m in markup.to_pylist()], kind)
 
     rows = pages.select(query, F.posexplode(read(body)).alias("pos", "r"))
     return usable(rows.select(query, (F.col("pos") + 1).alias("position"), "r.title", urls.unwrap_redirect(F.col("r.url")).alias("url"), "r.snippet", F.lit(provider).alias("provider")))
@@ -67,3 +71,17 @@ def accession(url: Column) -> Column:
 
 def release_tag(url: Column) -> Column:
     return F.regexp_extract(url, r"/releases/tag/([^/?#]+)", 1)
+
+
+def engine_results(pages: DataFrame, query: str, body: str, engine: str, order: list[str]) -> DataFrame:
+    """Results of the first engine, in the order given, whose result page has any.
+
+    pages: one row per query and engine.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(engine))
+    parts = [page_results(pages.where(F.col(engine) == name), query, body, name) for name in order]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    ranked = out.withColumnRenamed("provider", engine).withColumn("rank", rank)
+    return ranking.first_provider(ranked, query, "rank").withColumnRenamed(engine, "provider").drop("rank")

@@ -92,27 +92,37 @@ def pdf_text(blob: bytes) -> str | None:
     return "\n".join(f"===== Page {i + 1} =====\n{p.extract_text() or ''}" for i, p in enumerate(reader.pages))
 
 
+def docx_title(blob: bytes) -> str | None:
+    """The title among a document's core properties; blank or missing: null."""
+    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return None
+        found = ElementTree.fromstring(z.read("docProps/core.xml")).find("{http://purl.org/dc/elements/1.1/}title")
+    return (found.text or "").strip() or None if found is not None else None
+
+
 READERS: dict[str, Callable[[bytes], str | None]] = {"csv": csv_text, "xlsx": xlsx_text, "docx": docx_text, "pdf": pdf_text}
 
 
 def _read_rows(kind: pa.Array, blob: pa.Array) -> pa.Array:
     out = []
     for k, b in zip(kind.to_pylist(), blob.to_pylist(), strict=True):
-        text, error = None, None
+        text, error, title = None, None, None
         if k in READERS and b is not None:
             try:
                 text = READERS[k](b)
+                title = docx_title(b) if k == "docx" else None
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, csv.Error, AttributeError) as e:
                 error = f"{type(e).__name__}: {e}"
-        out.append({"content": text, "extraction_method": k if text is not None else "none", "error": error})
-    return pa.array(out, pa.struct([("content", pa.string()), ("extraction_method", pa.string()), ("error", pa.string())]))
+        out.append({"content": text, "extraction_method": k if text is not None else "none", "error": error, "title": title})
+    return pa.array(out, pa.struct([(c, pa.string()) for c in ("content", "extraction_method", "error", "title")]))
 
 
 def extract_files(files: DataFrame, kind: str = "kind", content: str = "content") -> DataFrame:
     """The rows with the text of each file in place of its bytes; what can't be read has method `none`."""
     rest = [c for c in files.columns if c != content]
 
-    @F.arrow_udf("struct<content:string,extraction_method:string,error:string>")
+    @F.arrow_udf("struct<content:string,extraction_method:string,error:string,title:string>")
     def read(kind: pa.Array, blob: pa.Array) -> pa.Array:
         return _read_rows(kind, blob)
 
@@ -154,8 +164,10 @@ def skill_file(text: str) -> dict | None:
 
 
 def skill_files(spark: SparkSession, path: str) -> DataFrame:
-    @F.udf("struct<name:string,domain:string,description:string,flow:array<string>,sections:string>")
-    def read(text: str):
-        return skill_file(text or "")
+    kind = pa.struct([("name", pa.string()), ("domain", pa.string()), ("description", pa.string()), ("flow", pa.list_(pa.string())), ("sections", pa.string())])
+
+    @F.arrow_udf("struct<name:string,domain:string,description:string,flow:array<string>,sections:string>")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([skill_file(t or "") for t in texts.to_pylist()], kind)
 
     return spark.read.text(path, wholetext=True).select(read("value").alias("s")).where("s is not null").select("s.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,3 +33,18 @@ def ship_code(spark: SparkSession) -> None:
             z.write(f, Path(root.name) / f.relative_to(root))
     sc.addPyFile(path)
     sc._webstrata_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a folder of this machine is made, but only for a session that runs
+    in one process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
