@@ -8,12 +8,15 @@ permutation of block indices, a new one each time the source is used up; blocks
 then joined by index. A source's last slot takes the first words of its block only,
 so it ends at its target, rounded down.
 
-Only one row per source goes to the driver. Positions in a stream come from ranks
-within many buckets and a small table of bucket sums; no task sees a whole source.
+Only one row per source goes to the driver, MOST_SOURCES at most; more are an error.
+Positions in a stream come from ranks within many buckets and a small table of bucket
+sums; no task sees a whole source. Equal rows are counted first and numbered after,
+so they fall into many buckets too.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; a
 null source is a source of its own, the last; equal rows are taken one by one; an
-empty table gives an empty one. Reruns agree, as all draws follow from `seed`.
+empty table gives an empty one; other columns stay, whatever their names. Reruns
+agree, as all draws follow from `seed`.
 """
 
 from __future__ import annotations
@@ -23,17 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from webstrata.llm._io import stored
-from webstrata.llm._text import SPACED, column, flat, mix, words
+from webstrata.llm._io import free_name, stored
+from webstrata.llm._text import SPACED, column, flat, mix, slices, words
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
-RANKED = 4_096
+RANKED = 1_024
+#: What the driver may hold: a row per source, and its slots in each output shard.
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -172,19 +177,31 @@ class Mix:
         return d.join(self.slots, ["source_ix", "block"]).withColumns({"from_word": begin - F.col("start"), "to_word": end - F.col("start")}).where("to_word > from_word")
 
 
+def _identity(key: str, source: str, text: str) -> list[Column]:
+    """128 bits of hash of a row; never null, so that joins on them are plain equalities."""
+    k, s, t = (F.col(f"`{c}`") for c in (key, source, text))
+    none = F.when(k.isNull(), 1).otherwise(0) + F.when(s.isNull(), 2).otherwise(0) + F.when(t.isNull(), 4).otherwise(0)
+    return [F.xxhash64(none, k, s, t), F.xxhash64(F.lit(7), none, t, F.octet_length(t.cast("string")), s, k)]
+
+
 def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 512, n_shards: int = 64, seed: int = 20) -> Mix:
     """Plans the mix. One pass over the texts counts words; all that follows works on narrow rows."""
     spark = docs.sparkSession
     col = lambda c: F.col(f"`{c}`")
-    narrow = stored(
-        docs.select(
-            col(key).alias("key"),
-            col(source).alias("source"),
-            F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(col(text)).alias("text_hash"),
-        )
+    one, two = _identity(key, source, text)
+    each = docs.select(
+        col(key).alias("key"),
+        col(source).alias("source"),
+        F.coalesce(F.regexp_count(col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        one.alias("id1"),
+        two.alias("id2"),
     )
-    found = {r["source"]: (r["size"], r["n"]) for r in narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+    # equal rows as one row with their number, so that a task sees few of them
+    narrow = stored(each.groupBy("id1", "id2").agg(F.first("key").alias("key"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    of_source = narrow.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(of_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = {r["source"]: (r["size"], r["n"]) for r in of_source}
     names = sorted(found, key=lambda x: (x is None, x or ""))
     sizes = [found[x][0] for x in names]
     target = targets(sizes, weights, share, most)
@@ -194,17 +211,17 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
         "source_ix int, name string, source_size long, target double",
     )
     buckets = 1 + sum(n for _, n in found.values()) // RANKED
-    order = ["key", "text_hash", "size"]
     rows = (
-        narrow.join(F.broadcast(facts) if len(names) <= 100_000 else facts, F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("bucket", F.pmod(F.xxhash64("key", "text_hash", F.lit(seed)), F.lit(buckets)))
+        narrow.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name")))
+        .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .withColumn("bucket", F.pmod(F.xxhash64("id1", "nth", F.lit(seed)), F.lit(buckets)))
     )
     sums = rows.groupBy("source_ix", "bucket").agg(F.sum("size").alias("held"))
     w = Window.partitionBy("source_ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = sums.select("source_ix", "bucket", (F.sum("held").over(w) - F.col("held")).alias("base"))
-    within = Window.partitionBy("source_ix", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source_ix", "bucket").orderBy("key", "id1", "id2", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     documents = rows.withColumn("upto", F.sum("size").over(within)).join(base, ["source_ix", "bucket"])
-    documents = documents.select("key", "source", "source_ix", "source_size", "target", "size", "text_hash", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    documents = documents.select("key", "source", "source_ix", "source_size", "target", "size", "id1", "id2", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
     shared = spark.sparkContext.broadcast(p)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +238,7 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
 def taken(m: Mix) -> DataFrame:
     """Per document: what the mix takes of it, in words, repeats counted."""
     cols = ["key", "source", "source_size", "target", "size", "source_ix", "start"]
-    some = m.pieces().groupBy(*cols, "text_hash").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken")).select(*cols, "taken")
-    took = some.select("source_ix", "start", "taken")
+    took = m.pieces().groupBy("source_ix", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     full = m.documents.where("size > 0").select(*cols).join(took, ["source_ix", "start"], "left")
     none = m.documents.where("size = 0").select(*cols).withColumn("taken", F.lit(None).cast("long"))
     return full.unionByName(none).withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("source_ix", "start")
@@ -232,37 +248,46 @@ def mixed(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text:
     """The mix itself, with the columns of docs: a row per document and epoch, its text cut to the words taken.
 
     A text taken whole is unchanged; of others the taken runs are joined by a space.
-    The texts are shuffled once, for the join by (key, hash of the text).
+    The texts are shuffled once, by the identity of their rows, for both the join and
+    the choice of one of equal rows.
     """
     m = mix_sources(docs, key=key, source=source, text=text, **options)
-    runs = m.pieces().groupBy("source_ix", "start", "epoch").agg(F.first("key").alias("__key"), F.first("source").alias("__source"), F.first("text_hash").alias("__hash"), F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias("__runs"))
-    runs = runs.select("__key", "__source", "__hash", "__size", "__runs")
-    one = docs.withColumns({"__key": F.col(f"`{key}`"), "__source": F.col(f"`{source}`"), "__hash": F.xxhash64(F.col(f"`{text}`"))})
-    # equal rows: the first stands for all, as their runs already come one by one
-    one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__hash", "__key", "__source").orderBy("__hash"))).where("__n = 1")
-    same = F.col("one.__hash").eqNullSafe(F.col("runs.__hash")) & F.col("one.__key").eqNullSafe(F.col("runs.__key")) & F.col("one.__source").eqNullSafe(F.col("runs.__source"))
-    joined = one.alias("one").join(runs.alias("runs"), same).select(*[F.col(f"one.`{c}`") for c in docs.columns], "runs.__size", "runs.__runs")
     names = list(docs.columns)
+    id1, id2, nth, size, runs = (free_name(names, f"mix_{x}") for x in ("id1", "id2", "nth", "size", "runs"))
+    found = m.pieces().groupBy("source_ix", "start", "epoch").agg(F.first("id1").alias(id1), F.first("id2").alias(id2), F.first("size").alias(size), F.array_sort(F.collect_list(F.struct("from_word", "to_word"))).alias(runs))
+    one, two = _identity(key, source, text)
+    # of equal rows the first stands for all, as their runs already come one by one
+    first = F.row_number().over(Window.partitionBy(id1, id2).orderBy(F.lit(1)))
+    each = docs.withColumns({id1: one, id2: two}).withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    joined = each.join(found.select(id1, id2, size, runs), [id1, id2]).select(*[F.col(f"`{c}`") for c in names], size, runs)
     schema = T.StructType([docs.schema[c] for c in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, found = column(batch, text), column(batch, "__size").to_pylist(), column(batch, "__runs").to_pylist()
-            out = []
-            for i, (size, rs) in enumerate(zip(sizes, found, strict=True)):
-                join: list[list[int]] = []
-                for r in rs:
-                    if join and join[-1][1] == r["from_word"]:
-                        join[-1][1] = r["to_word"]
-                    else:
-                        join.append([r["from_word"], r["to_word"]])
-                if join == [[0, size]]:
-                    out.append(texts[i].as_py())
-                    continue
-                data, offs = flat(texts.slice(i, 1))
-                s, e, _ = words(data, offs, SPACED)
-                out.append(b" ".join(data[s[a] : e[b - 1]].tobytes() for a, b in join).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else column(batch, c) for c in names], names)
+            for part in slices(batch, text):
+                yield _cut(part, names, text, size, runs)
 
     out = joined.mapInArrow(cut, schema)
     return out.withColumn("n_chars", F.length(f"`{text}`").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+def _cut(part: pa.RecordBatch, names: list[str], text: str, size: str, runs: str) -> pa.RecordBatch:
+    """The rows of `part` with their texts cut to their runs."""
+    texts, found = column(part, text), column(part, runs)
+    values, per = found.flatten(), np.asarray(found.value_lengths())
+    begin, end = (np.asarray(values.field(i)) for i in range(2))
+    cut_at = np.concatenate([[0], np.cumsum(per)])
+    whole = np.asarray(column(part, size))
+    out: list[str | None] = []
+    for i, total in enumerate(whole.tolist()):
+        a, b = begin[cut_at[i] : cut_at[i + 1]], end[cut_at[i] : cut_at[i + 1]]
+        first = np.ones(len(a), bool)
+        first[1:] = a[1:] != b[:-1]
+        a, b = a[first], b[np.append(first[1:], True)]
+        if len(a) == 1 and a[0] == 0 and b[0] == total:
+            out.append(texts[i].as_py())
+            continue
+        data, offs = flat(texts.slice(i, 1))
+        s, e, _ = words(data, offs, SPACED)
+        out.append(b" ".join(data[s[x] : e[y - 1]].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)).decode())
+    return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else column(part, c) for c in names], names)
