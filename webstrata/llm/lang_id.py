@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from webstrata.llm._text import LOWER, column, flat, slices
@@ -35,6 +36,8 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic",
 }
 N_FEATURES = 4096
+#: What the driver may hold: a few hundred rows of each label.
+MOST_LABELS = 1000
 
 
 def features(raw: bytes | np.ndarray, n_features: int = N_FEATURES) -> np.ndarray:
@@ -128,16 +131,19 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, str] | None = None
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, families: dict[str, str] | None = None) -> Model:
-    """Fits on about per_language rows of each label (documented bound); counts cover all labelled rows."""
-    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(f"`{key}`").alias("h"))
-    rows = rows.where("lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    """Fits on the per_language rows of each label (documented bound) with the least hashes of key and text; MOST_LABELS labels at most."""
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
+    rows = rows.where("lang is not null and text is not null")
+    least = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language)
+    upto = ranked.groupBy("lang").agg(F.max("h").alias("upto")).limit(MOST_LABELS + 1).toArrow()
+    if upto.num_rows > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not upto.num_rows:
         return Model(N_FEATURES, [], np.zeros((0, N_FEATURES)), np.zeros(0), {}, {})
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).where("text is not null")
+    upto = F.broadcast(labelled.sparkSession.createDataFrame(upto))
+    # rows that are equal in key and text have one hash, so the ranks are taken again
+    chosen = rows.join(upto, "lang").where("h <= upto").withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language).select("text", "lang", "h")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
