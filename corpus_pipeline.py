@@ -4,7 +4,7 @@ Each stage gets what the one before it kept, in the columns of `documents`; the
 adds the shard. Rows that a stage keeps are never dropped later for anything but
 that stage's own rule:
 
-1. language identification: documents without a letter, or of no learnt language, go;
+1. language identification: documents without text or without a letter go;
 2. n-gram Jaccard join: one document of each group of near copies stays;
 3. benchmark decontamination: contaminated documents go;
 4. mixing: documents become the rows of the mix, repeated or cut to the words taken;
@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm import decontam, lang_id, mixing, ngram_join, sharding
-from webstrata.llm._io import scratch, table
+from webstrata.llm._io import free_name, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents; `lang` becomes what is predicted where it was null."""
     model = lang_id.train(docs)
-    found = lang_id.identify(docs, model, pred="lang_pred", score="lang_score").where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = (free_name(docs.columns, x) for x in ("lang_pred", "lang_score"))
+    found = lang_id.identify(docs, model, pred=pred, score=score).where(F.col(pred) != "und")
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
