@@ -1,10 +1,14 @@
 """Search results, inputs, addresses, robots, masking and sinks."""
 
+import io
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
-from webstrata.functions import safety
-from webstrata.operators import search
-from webstrata.sources import sinks
+from webstrata.functions import safety, urls
+from webstrata.operators import events, metrics, routing, search
+from webstrata.sources import files, sinks
 
 
 def test_results(spark):
@@ -57,3 +61,35 @@ def test_sinks(spark, tmp_path):
     assert spark.createDataFrame([("What's new?!",)], "q string").select(sinks.slug(F.col("q"))).first()[0] == "what-s-new"
     sinks.write_json(cache, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_engines_routes_and_titles(spark, tmp_path):
+    page = '<div class="result"><a href="https://%s/"><h2>T</h2></a></div>'
+    serps = spark.createDataFrame([("q", "google", "<p>none</p>"), ("q", "duckduckgo", page % "d.com"), ("r", "google", page % "g.com"), ("r", "duckduckgo", page % "d.com")], "query string, engine string, body string")
+    got = search.engine_results(serps, "query", "body", "engine", ["google", "duckduckgo"])
+    assert sorted((r["query"], r["provider"], r["url"]) for r in got.collect()) == [("q", "duckduckgo", "https://d.com/"), ("r", "google", "https://g.com/")]
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:t>Hello</w:t></w:p></w:body></w:document>')
+        z.writestr("docProps/core.xml", '<c:p xmlns:c="x" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title> Plan </dc:title></c:p>')
+    row = files.extract_files(spark.createDataFrame([("docx", blob.getvalue()), ("docx", b"no zip")], "kind string, content binary")).collect()
+    assert (row[0]["content"], row[0]["title"]) == ("Hello", "Plan") and row[1]["extraction_method"] == "none" and row[1]["title"] is None
+    parts = routing.in_order(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(1, 2)], "a int, b int"))
+    assert sorted((r["part"], r["a"], r["b"]) for r in parts.collect()) == [(0, 1, None), (1, 1, 2)]
+    assert routing.correlated(parts, "c1").first()["correlation_id"] == "c1" and len(routing.correlated(parts).first()["correlation_id"]) == 32
+    pool = {"windows": ["w1", "w2"], "linux": ["l1"]}
+    agents = spark.createDataFrame([("Linux", 5), ("windows", 3), ("amiga", 2)], "f string, d int").select(urls.pick_agent(F.col("f"), F.col("d"), pool))
+    assert [r[0] for r in agents.collect()] == ["l1", "w2", "l1"]
+
+
+def test_paths_and_metrics(spark):
+    assert sinks.confined("/out", "a/b") == "/out/a/b" and sinks.confined("s3://bucket/out", "x") == "s3://bucket/out/x"
+    for path in ("../x", "/etc", "a/../../x", "."):
+        with pytest.raises(ValueError):
+            sinks.confined("/out", path)
+    totals = spark.createDataFrame([("a", 1), ("b", 2)], "key string, total int")
+    assert metrics.snapshot(totals, since=5.0, now=9.5).first().asDict() == {"series": {"a": 1, "b": 2}, "uptime_s": 4.5}
+    calls = spark.createDataFrame([(1, "a"), (5, "b")], "at int, key string")
+    assert [r["key"] for r in metrics.since_reset(calls, spark.createDataFrame([(2,)], "t int")).collect()] == ["b"] and metrics.since_reset(calls, spark.createDataFrame([], "t int")).count() == 2
+    log = spark.sql("select map('password', 'x') as args, 1.0D as started_at, 1.25D as ended_at, string(null) as error union all select map('k', 'v'), 2.0D, 1.0D, 'e'")
+    assert [(r["status"], r["elapsed_ms"]) for r in events.audit_rows(log).collect()] == [("ok", 250.0), ("error", 0.0)]

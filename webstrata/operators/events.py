@@ -45,9 +45,13 @@ def downloads(events: DataFrame, page: str) -> DataFrame:
     return events.where("event_type = 'download'").select(page, "pos", "url")
 
 
-def audit_rows(calls: DataFrame) -> DataFrame:
-    """Log rows of calls, secret arguments masked."""
-    return calls.withColumn("args", tx.redact_map(F.col("args")))
+def audit_rows(calls: DataFrame, started: str = "started_at", ended: str = "ended_at", error: str = "error") -> DataFrame:
+    """Log rows of calls: secret arguments masked, `status` ok or error, `elapsed_ms`, 0 at least.
+
+    calls: args, times in seconds, error (null if there was none).
+    """
+    took = F.greatest(F.lit(0.0), F.round((F.col(ended) - F.col(started)) * 1000, 1))
+    return calls.withColumns({"args": tx.redact_map(F.col("args")), "status": F.when(F.col(error).isNull(), "ok").otherwise("error"), "elapsed_ms": took})
 
 
 def replay(trace: DataFrame, secrets: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,6 +29,7 @@ def ship_code(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="webstrata-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # served from there as long as the session lives
     path = f"{folder}/webstrata.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
