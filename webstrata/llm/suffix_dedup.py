@@ -12,9 +12,9 @@ removed. Such strings are found in shards:
 3. All other stretches that share an anchor go, by anchor, to the shard of that
    anchor, one copy of each, and a suffix array with common-prefix values is built
    there (:mod:`webstrata.llm._induced`): windows whose common prefix with a
-   neighbour reaches `width` repeat. A shard must fit in memory, with some tens of
-   bytes a symbol: only its text and what queues hold beyond their budget are on
-   disk, in a scratch folder of the task that is gone when the task ends.
+   neighbour reaches `width` repeat. A shard may be larger than memory: beyond a
+   budget of symbols all that is as long as the shard is on disk, in a scratch folder
+   of the task, lost and made again with the task.
 4. What repeats is gathered per text, by a hash of the whole text; equal texts have
    equal repeats.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.llm._induced import suffix_array
+from webstrata.llm._induced import Spool, descending
 from webstrata.llm._io import stored
 from webstrata.llm._text import Counts, column, flat, list_array, mix, powers, slices
 
@@ -44,6 +44,8 @@ WIDTH, GRAM = 200, 64
 ANCHOR_BITS, PLACE_BITS, TEXT_BITS = 27, 26, 26
 PIECE, SLICE = 1 << 19, 1 << 20
 SEEN = 1 << 16
+#: Places of a shard that are looked at together.
+STEP = 1 << 18
 
 
 def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -131,48 +133,51 @@ def _in_map(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (marks[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
 
 
-def sort_shard(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows among the stretches of a task: rows (t1, t2, start, length) of what they cover."""
+def sort_shard(batches: Iterator[pa.RecordBatch], width: int, in_memory: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among the stretches of a task: rows (t1, t2, start, length) of what they cover.
+
+    The text, the stretches' keys, the suffixes and a mark for every place are in files;
+    at most `in_memory` symbols are sorted, and as many tuples queued, in memory.
+    """
     with tempfile.TemporaryDirectory() as tmp:
-        keys: list[tuple[np.ndarray, ...]] = []
-        sizes: list[np.ndarray] = []
-        n = 0
-        with open(f"{tmp}/text", "wb") as file:
-            for batch in batches:
-                data, offs = flat(column(batch, "bytes"))
-                # a 0 ends each stretch, other symbols are moved up by one
-                out = np.zeros(len(data) + batch.num_rows, np.uint16)
-                size = np.diff(offs)
-                at = np.arange(len(data)) + np.repeat(np.arange(batch.num_rows), size)
-                out[at] = data.astype(np.uint16) + 1
-                file.write(out.tobytes())
-                n += len(out)
-                sizes.append(size)
-                keys.append(tuple(np.asarray(column(batch, c)) for c in ("t1", "t2", "start")))
+        symbols, ends = Spool(tmp, np.uint16), Spool(tmp, np.int64)
+        keys = {c: Spool(tmp, np.int64) for c in ("t1", "t2", "start")}
+        for batch in batches:
+            data, offs = flat(column(batch, "bytes"))
+            # a 0 ends each stretch, other symbols are moved up by one
+            size = np.diff(offs)
+            out = np.zeros(len(data) + batch.num_rows, np.uint16)
+            out[np.arange(len(data)) + np.repeat(np.arange(batch.num_rows), size)] = data.astype(np.uint16) + 1
+            ends.append(symbols.n + np.cumsum(size + 1))
+            symbols.append(out)
+            for c, f in keys.items():
+                f.append(np.asarray(column(batch, c)))
+        n = symbols.n
         if not n:
             return
-        text = np.memmap(f"{tmp}/text", np.uint16, "r", shape=(n,))
-        if n <= 1 << 26:
-            text = np.array(text)
-        size = np.concatenate(sizes)
-        sa, lcp = suffix_array(text, width, tmp)
-        hit = lcp >= width
-        hit[:-1] |= lcp[1:] >= width
-        place = np.sort(sa[hit])
-        ends = np.cumsum(size + 1)
-        of = np.searchsorted(ends, place, "right")
-        inside = place - (ends - size - 1)[of]
-        ok = inside + width <= size[of]
-        of, inside = of[ok], inside[ok]
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)
-        first = np.flatnonzero(new)
-        run = np.diff(np.append(first, len(of)))
-        t1, t2, start = (np.concatenate([k[i] for k in keys]) for i in range(3))
-        o = of[first]
-        for at in range(0, len(o), 1 << 16):
-            x = o[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(t1[x]), pa.array(t2[x]), pa.array(start[x] + inside[first[at : at + len(x)]]), pa.array(run[at : at + len(x)] + width - 1)], ["t1", "t2", "start", "length"])
+        suffixes, prefixes = descending(symbols.array(), width, tmp, memory=in_memory, in_memory=in_memory)
+        # a place repeats if its suffix shares `width` symbols with the one before or after it
+        marked = np.memmap(f"{tmp}/marked", bool, "w+", shape=(n,))
+        place, lcp = suffixes.array(), prefixes.array()
+        for at in range(0, n, STEP):
+            long = np.asarray(lcp[at : at + STEP + 1]) >= width
+            long[0] &= at > 0
+            here = long[:STEP] | (np.append(long[1:], False)[: len(long[:STEP])])
+            marked[np.asarray(place[at : at + STEP])[here]] = True
+        stop, (t1, t2, start) = ends.array(), (f.array() for f in keys.values())
+        for at in range(0, n, STEP):
+            found = np.flatnonzero(marked[at : at + STEP]) + at
+            of = np.searchsorted(stop, found, "right")
+            begin = np.where(of > 0, stop[np.maximum(of - 1, 0)], 0)
+            ok = found + width < stop[of]
+            of, inside = of[ok], (found - begin)[ok]
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)
+            first = np.flatnonzero(new)
+            if not len(first):
+                continue
+            run, o = np.diff(np.append(first, len(of))), of[first]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(t1[o])), pa.array(np.asarray(t2[o])), pa.array(start[o] + inside[first]), pa.array(run + width - 1)], ["t1", "t2", "start", "length"])
 
 
 def repeats(docs: DataFrame, *, text: str = "text", width: int = WIDTH, gram: int = GRAM, shard_bytes: int = 1 << 20) -> DataFrame:
