@@ -6,9 +6,11 @@
 3. Each document's pre-token counts meet these numbers: the `frequent` most common
    pre-tokens, a bounded table, are broadcast; all others are joined by hash.
 
-Cutting is vectorised over code points below U+0250 and follows the tokenizer's own
-pattern; texts with any other character, or with a special string, are cut by the
-tokenizer's own normalizer and pre-tokenizer. Pre-tokens are keyed by a 64-bit hash.
+Cutting is vectorised over code points below U+0250, if the tokenizer cuts a set of
+probes in the same way; texts with any other character, or with a special string, and
+all texts of a tokenizer with another rule are cut by its own normalizer and
+pre-tokenizer. Pre-tokens are keyed by a 64-bit hash, texts by 128 bits, so copies
+share one count and a task that runs again gives the same.
 
 Defined results: a null or empty text has no bytes and no tokens; a special string
 in a text counts as one token; equal rows each get their result. Other columns stay
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm._io import most_frequent, stored
-from webstrata.llm._text import column, flat, list_array, slices, word_hashes
+from webstrata.llm._text import column, flat, list_array, look_up, slices, word_hashes
 
 PLAIN = 0x250
 # The contractions that the tokenizer's pattern splits off, in its order.
@@ -96,6 +98,13 @@ def cut_plain(cps: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
+def _probes() -> list[str]:
+    """Plain texts in which every plain character stands beside each kind, and all contractions."""
+    plain = [chr(c) for c in np.flatnonzero(KIND != ODD)]
+    around = [f"a{c}A1{c}2 {c}{c}. {c}" for c in plain]
+    return [*around, *(f"x{c}y {c.upper()} {c}{c} '{c}" for c in CONTRACTIONS), "", " ", "It's  12345\tA--b\n''", "".join(plain)]
+
+
 class Cutter:
     """Cuts texts into pre-tokens as the tokenizer in a file does."""
 
@@ -104,6 +113,13 @@ class Cutter:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = all(self._agrees(x) for x in _probes())
+
+    def _agrees(self, text: str) -> bool:
+        """Whether the vectorised rule cuts a plain text as the tokenizer does."""
+        cps = LOW[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        s, e = cut_plain(cps, np.array([0, len(cps)]))
+        return [cps[a:b].astype(np.uint32).tobytes().decode("utf-32-le") for a, b in zip(s, e, strict=True)] == self._own(text)[0]
 
     def _own(self, text: str) -> tuple[list[str], int]:
         pieces, n = [text], 0
@@ -130,7 +146,7 @@ class Cutter:
         n_docs, special = len(texts), np.zeros(len(texts), np.int64)
         odd = (cps >= PLAIN) | (KIND[np.minimum(cps, PLAIN - 1)] == ODD)
         before = np.concatenate([[0], np.cumsum(odd)])
-        slow = before[offs[1:]] > before[offs[:-1]]
+        slow = (before[offs[1:]] > before[offs[:-1]]) | (not self.plain)
         if any(s.encode() in raw for s in self.special):
             slow |= np.array([any(s.encode() in raw[a:b] for s in self.special) for a, b in zip(boffs[:-1], boffs[1:], strict=True)])
         if not slow.any():
@@ -235,12 +251,11 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         cutter = _cutter(path)
         th, tp = shared.value
         for batch in batches:
-            for part in slices(batch, text):
-                texts = column(part, text)
+            for part in slices(batch, "text"):
+                texts = column(part, "text")
                 cps, s, e, doc, special = cutter.cut(texts)
                 h = _signed(word_hashes(cps, s, e))
-                at = np.minimum(np.searchsorted(th, h), max(len(th) - 1, 0))
-                known = th[at] == h if len(th) else np.zeros(len(h), bool)
+                at, known = look_up(th, h)
                 base = np.bincount(doc[known], tp[at[known]], len(texts)).astype(np.int64) + special
                 rest = np.flatnonzero(~known)
                 rest = rest[np.lexsort((h[rest], doc[rest]))]
@@ -249,22 +264,18 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
                 new[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
                 first = np.flatnonzero(new)
                 freq = np.diff(np.append(first, len(rest)))
-                # one row of its own for each document; its hash spreads it and its count of 0 adds nothing
-                rid = np.asarray(column(part, "rid"))
-                hs, fs, ds = np.concatenate([rid * 0x9E3779B1 + 1, x[first]]), np.concatenate([np.zeros(len(texts), np.int64), freq]), np.concatenate([np.arange(len(texts)), d[first]])
+                # a row of its own for each text; its hash spreads it and its count of 0 adds nothing
+                hs, fs, ds = np.concatenate([np.asarray(column(part, "t1")), x[first]]), np.concatenate([np.zeros(len(texts), np.int64), freq]), np.concatenate([np.arange(len(texts)), d[first]])
                 sort = np.argsort(ds, kind="stable")
                 rows = pa.StructArray.from_arrays([pa.array(hs[sort], pa.int64()), pa.array(fs[sort], pa.int64())], ["h", "freq"])
-                _, boffs = flat(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [column(part, "rid"), column(part, key), pa.array(np.diff(boffs)), pa.array(base), list_array(rows, np.bincount(ds, minlength=len(texts)))],
-                    ["rid", "key", "n_bytes", "base", "rest"],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    ids = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).withColumn("rid", F.monotonically_increasing_id())
-    per = ids.mapInArrow(scan, f"rid long, key {kind}, n_bytes long, base long, rest array<struct<h:long,freq:long>>")
-    rows = per.select("rid", F.struct("key", "n_bytes", "base").alias("own"), F.explode("rest").alias("r"))
-    rows = rows.select("rid", F.when(F.col("r.freq") == 0, F.col("own.key")).alias("key"), F.when(F.col("r.freq") == 0, F.col("own.n_bytes")).alias("n_bytes"), F.when(F.col("r.freq") == 0, F.col("own.base")).alias("base"), F.col("r.h").alias("h"), F.col("r.freq").alias("freq"))
-    met = rows.join(table.select("h", "pieces"), "h", "left")
-    total = F.sum(F.col("freq") * F.coalesce("pieces", F.lit(0)))
-    return met.groupBy("rid").agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), (F.max("base") + total).cast("long").alias("n_tokens")).drop("rid")
+                yield pa.RecordBatch.from_arrays([column(part, "t1"), column(part, "t2"), pa.array(base), list_array(rows, np.bincount(ds, minlength=len(texts)))], ["t1", "t2", "base", "rest"])
+
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text", F.octet_length("text"))})
+    per = rows.select("text", "t1", "t2").mapInArrow(scan, "t1 long, t2 long, base long, rest array<struct<h:long,freq:long>>")
+    found = per.select("t1", "t2", "base", F.explode("rest").alias("r")).select("t1", "t2", F.when(F.col("r.freq") == 0, F.col("base")).alias("base"), F.col("r.h").alias("h"), F.col("r.freq").alias("freq"))
+    met = found.join(table.select("h", "pieces"), "h", "left")
+    # copies of a text send their counts each; the sum is divided by their number
+    total = F.sum(F.coalesce("base", F.lit(0)) + F.col("freq") * F.coalesce("pieces", F.lit(0)))
+    texts = stored(met.groupBy("t1", "t2").agg(total.alias("total"), F.count_if(F.col("freq") == 0).alias("copies")).select("t1", "t2", F.expr("total div copies").alias("n_tokens")))
+    return rows.select("key", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes")).join(texts, ["t1", "t2"]).select(F.col("key").alias(key), "n_bytes", "n_tokens")

@@ -14,7 +14,8 @@ candidates of each.
 Defined results: vectors that are null or hold a null or a value that isn't finite
 take no part; shorter vectors count as padded with zeros; a vector is no candidate
 for a query with its own id; equal scores go to the smaller id; a repeated query id
-gives one result per row; no queries, no rows. Other columns are ignored.
+gives one result per row; no queries, no rows; components so large that a score may
+need more than 64 bits are an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ def _matrix(vectors: pa.Array, scale: int, dims: int) -> np.ndarray:
     lengths = np.asarray(vectors.value_lengths())
     values = np.asarray(vectors.flatten()).astype(np.float64)
     out = np.zeros((len(lengths), dims), np.int64)
-    scaled = np.floor(values * scale).astype(np.int64)
+    scaled = np.floor(values * scale)
+    if np.abs(scaled).max(initial=0) >= 1 << 62:
+        raise OverflowError("a component is too large for 64-bit scores")
+    scaled = scaled.astype(np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     out[row, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = scaled
     return out
@@ -47,13 +51,15 @@ class Block:
         self.ids, self.vectors = ids, vectors
         self.lists = np.argsort(vectors, axis=0, kind="stable")
         # products in float64 are exact below 2**53
-        top = int(np.abs(vectors).max(initial=0))
-        self.exact_float = top < 1 << 22 and vectors.shape[1] < 512
+        self.top = float(np.abs(vectors).max(initial=0))
+        self.exact_float = self.top < 1 << 22 and vectors.shape[1] < 512
         self.fast = vectors.astype(np.float64) if self.exact_float else None
 
     def search(self, query: np.ndarray, own: int, k: int, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best of (scores, ids) and this block; and how many rows were scored."""
         n, used = len(self.ids), np.flatnonzero(query)
+        if float(np.abs(query).max(initial=0)) * self.top * max(1, len(query)) >= float(1 << 63):
+            raise OverflowError("scores may need more than 64 bits")
         seen = np.zeros(n, bool)
         depth, scored = 0, 0
         q = query.astype(np.float64) if self.exact_float and np.abs(query).max(initial=0) < 1 << 22 else None
