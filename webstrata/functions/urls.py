@@ -179,7 +179,11 @@ def is_private_literal(h: Column) -> Column:
 
 def gate(url: Column, *, deny: list[str] | None = None, allow: list[str] | None = None) -> Column:
     """Whether a URL may be read: it has a public host, no denied domain, and an allowed one if any are named."""
-    h = host(url)
+    return gate_host(host(url), deny=deny, allow=allow)
+
+
+def gate_host(h: Column, *, deny: list[str] | None = None, allow: list[str] | None = None) -> Column:
+    """The same for a host; where it is a column of its own it is computed once."""
     ok = (h != "") & ~is_private_literal(h)
     for d in deny or []:
         ok = ok & ~under_domain(h, d.lower())

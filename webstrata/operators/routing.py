@@ -34,12 +34,13 @@ def first_file(results: DataFrame, query: str, types: list[str], *, position: st
     """
     exts = [f".{t.lstrip('.').lower()}" for t in types]
     kinds = sorted({urls.EXTENSION_KIND[e] for e in exts if e in urls.EXTENSION_KIND})
-    ext = urls.extension(F.col(url))
+    ext = F.col("__ext")
     tier = F.when(ext.isin(exts), 1)
     if probed:
         wanted = F.col(probed).isin(kinds) if kinds else F.col(probed) == "binary_other"
         tier = tier.when((ext == "") & wanted, 2)
-    rows = results.where(urls.gate(F.col(url), deny=deny)).withColumn("tier", tier).where("tier is not null")
+    rows = results.withColumns({"__host": urls.host(F.col(url)), "__ext": urls.extension(F.col(url))})
+    rows = rows.where(urls.gate_host(F.col("__host"), deny=deny)).withColumn("tier", tier).where("tier is not null")
     best = rows.groupBy(query).agg(F.min_by(F.struct(url, "tier"), F.struct("tier", position)).alias("best"))
     return best.select(query, F.col(f"best.{url}").alias("url"), "best.tier")
 

@@ -274,7 +274,8 @@ def q_search_outcome(spark, sf):
 
 @query("q_domain_gate", f"SELECT page_id, h <> '' AND NOT (h = 'spam-farm.example.org' OR ends_with(h, '.spam-farm.example.org')) AND (h = 'example.org' OR ends_with(h, '.example.org') OR h = 'example.com' OR ends_with(h, '.example.com')) AS allowed FROM (SELECT page_id, {_H} AS h FROM pages)")
 def q_domain_gate(spark, sf):
-    return table(spark, sf, "pages").select("page_id", urls.gate(F.col("url"), deny=["spam-farm.example.org"], allow=["example.org", "example.com"]).alias("allowed"))
+    p = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
+    return p.select("page_id", urls.gate_host(F.col("host"), deny=["spam-farm.example.org"], allow=["example.org", "example.com"]).alias("allowed"))
 
 
 _SKILLS = [("example.com", "generic"), ("blog.thther.example.org", "blog"), ("example.org", "org"), ("ththre.example.com", "one")]
