@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.llm import decontam, lang_id, mixing, ngram_join, sharding
-from webstrata.llm._io import free_name, scratch, table
+from webstrata.llm._io import free_name, remove, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    A stage's folder goes when the next one's is written; the last one stays, as the
+    result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = scratch(spark, "pipeline")
+    folder, before = scratch(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            here = f"{folder}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before:
+                remove(spark, before)
+            before = here
     return docs
