@@ -11,23 +11,21 @@ from webstrata.llm._io import stored
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of an edge (a, b): comp is the smallest id of its component.
 
-    Every round replaces the edges by edges between labels, so the graph shrinks, and
-    labels are followed as far as two steps. Hubs cost one row per edge, as sums are
-    formed before the shuffle. Rounds grow with the logarithm of the longest path.
+    Every round the labels of two ends meet: the larger label learns of the smaller, and
+    every id takes the label of its label. Hubs cost one row per edge, as sums are formed
+    before the shuffle. Rounds grow with the logarithm of the longest path; each is a
+    small plan over stored tables.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
     edges = edges.select("a", "b").where("a <> b")
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
     while True:
-        # where the labels of the two ends differ, the larger label learns of the smaller
-        one = edges.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
-        down = one.where("x <> y").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("to"))
-        learn = down.groupBy("id").agg(F.min("to").alias("to"))
+        # edges between the labels of their ends, as far as they differ
+        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+        open_ = stored(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if open_.limit(1).count() == 0 and labels.join(labels.select(F.col("id").alias("comp"), F.col("comp").alias("up")), "comp").where("up <> comp").limit(1).count() == 0:
+            return labels
+        learn = open_.groupBy("b").agg(F.min("a").alias("to")).select(F.col("b").alias("id"), "to")
         roots = labels.join(learn, "id", "left").select("id", F.least("comp", F.coalesce("to", "comp")).alias("comp"))
         hop = roots.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        for _ in range(2):
-            roots = roots.join(hop, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
-        new = stored(roots)
-        if new.join(labels.withColumnRenamed("comp", "was"), "id").where("comp <> was").limit(1).count() == 0:
-            return new
-        labels = new
+        labels = stored(roots.join(hop, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp")))
