@@ -5,8 +5,9 @@ Features are counts of byte trigrams of the lower-cased text, hashed into
 SVM over families picks the family; inside it, each pair of languages has its own
 linear SVM, and most votes win (ties: the larger sum of margins).
 
-The classifier is fitted on about `per_language` rows of each label, chosen by a
-hash over all labelled rows; everything else covers all rows and whole texts.
+The classifier is fitted on `per_language` rows of each label, those with the least
+hashes of key and text among all labelled rows; everything else covers all rows and
+whole texts.
 
 Defined results: a text that is null or has no letter is `und` with score 0; with
 no labelled row all are `und`; with one language it is predicted with score 1;
@@ -38,6 +39,7 @@ FAMILIES = {
 N_FEATURES = 4096
 #: What the driver may hold: a few hundred rows of each label.
 MOST_LABELS = 1000
+RANKED = 64
 
 
 def features(raw: bytes | np.ndarray, n_features: int = N_FEATURES) -> np.ndarray:
@@ -135,7 +137,10 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
     rows = rows.where("lang is not null and text is not null")
     least = Window.partitionBy("lang").orderBy("h")
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language)
+    # ranked in RANKED buckets of each label first, so that one task gets RANKED * per_language rows at most, at any size
+    some = rows.select("lang", "h", F.pmod(F.xxhash64("h"), F.lit(RANKED)).alias("bucket"))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("h"))).where(F.col("r") <= per_language)
+    ranked = some.withColumn("r", F.row_number().over(least)).where(F.col("r") <= per_language)
     upto = ranked.groupBy("lang").agg(F.max("h").alias("upto")).limit(MOST_LABELS + 1).toArrow()
     if upto.num_rows > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
