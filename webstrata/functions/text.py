@@ -159,6 +159,7 @@ def shaped(markdown: Column, content: Column, cap: Column, offset: Column, form:
     whole = F.coalesce(md, content)
     start = F.greatest(F.lit(0), offset)
     piece, follows = window(whole, start, clamp(cap, 1, 1_000_000))
+    # Fixed value: the wording of the hint.
     hint = F.concat(F.lit("content truncated at "), follows.cast("string"), F.lit(" of "), F.length(whole).cast("string"), F.lit(f" chars; call {tool} with offset="), follows.cast("string"), F.lit(" to continue"))
     return F.struct(
         F.when(md.isNotNull(), piece).alias("markdown"), F.when(md.isNull(), piece).alias("content"), F.length(whole).alias("total_chars"), start.alias("offset"),
