@@ -44,6 +44,14 @@ def test_run(spark, folder):
     assert out.count() > 0 and {"shard", "slot", "text"} <= set(out.columns)
 
 
+def test_near_copies_of_hashes_alike(spark):
+    """Hashes of the first and third text, single n-grams, share their upper 40 bits; the first comes twice in the task."""
+    texts = ["w3144992", "w3144992 ", "w1291506", "w8", "w8 "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+
+
 def test_names():
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)

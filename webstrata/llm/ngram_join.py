@@ -237,8 +237,11 @@ def _found_again(docs: DataFrame, pick, held: int = 1 << 20) -> np.ndarray:
     within = COUNT_BITS - deal
 
     def sent(got: Counts) -> Iterator[pa.RecordBatch]:
-        # the last bit tells whether the task itself has it more than once
-        keys = (got.keys >> np.uint64(64 - COUNT_BITS) << np.uint64(1)) | (got.n > 1)
+        # n-grams that share the upper bits are one key, as gaps must not be negative; the last bit tells
+        # whether the task itself has it more than once
+        upper = got.keys >> np.uint64(64 - COUNT_BITS)
+        first = np.flatnonzero(np.append(True, upper[1:] != upper[:-1])) if len(upper) else np.zeros(0, np.int64)
+        keys = (upper[first] << np.uint64(1)) | (np.add.reduceat(got.n, first) > 1 if len(first) else np.zeros(0, bool))
         part = (keys >> np.uint64(within + 1)).astype(np.int64)
         cut = np.searchsorted(part, np.arange((1 << deal) + 1))
         ids, blobs = [], []
