@@ -189,6 +189,16 @@ def test_similarity_random(spark):
     assert [got[i] for i, _ in rows] == components(rows)
 
 
+def test_similarity_of_hashes_alike(spark):
+    """A task holds the n-gram of its first text twice and once another one alike in the upper 40 bits; what comes after it is linked to another task's."""
+    texts = ["w3144992", "w3144992 ", "w1291506", "w8", "w8 ", "w9", "w10", None]
+    hashes = ngram_join.sets_of(pa.array(texts), 5)[0][[0, 2, 3]]
+    assert hashes[0] < hashes[1] < hashes[2] < 1 << 62 and hashes[0] >> np.uint64(24) == hashes[1] >> np.uint64(24)
+    rows = spark.sparkContext.parallelize(list(enumerate(texts)), 2)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7}
+
+
 def test_lm(spark, docs, texts, empty):
     train = docs.where("doc_id % 5 <> 0")
     for top in (4, 1 << 10):  # with a small table most counts come by join
