@@ -52,6 +52,43 @@ def test_near_copies_of_hashes_alike(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
 
+def test_near_copies_pass_in_small_batches(spark, tmp_path):
+    """12 MB of text in one task: Python gets it in batches of bounded bytes, and the caller's setting is as before."""
+    name, log = "spark.sql.execution.arrow.maxBytesPerBatch", str(tmp_path / "sizes")
+    make = lambda i: " ".join(f"w{i}x{k % 3000}" for k in range(4000))
+    spark.createDataFrame([(i, make(i)) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+
+    def noted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write(f"{batch.nbytes}\n")
+            yield batch
+
+    docs = spark.read.parquet(f"{tmp_path}/docs").mapInArrow(noted, "doc_id long, text string")
+    before = spark.conf.get(name, None)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    with open(log) as f:
+        assert max(map(int, f)) < 6 << 20
+    assert kept.count() == 300 and spark.conf.get(name, None) == before
+    spark.conf.set(name, 1 << 20)
+    try:
+        corpus_pipeline.drop_near_copies(spark, docs.limit(3), "")
+        assert spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.unset(name)
+
+
+def test_mixing_starts_no_other_workers(spark, folder, monkeypatch):
+    """A table from a list goes through workers of RDDs, which stay beside those of functions."""
+
+    def no(*_):
+        raise AssertionError("rows pass through an RDD of Python")
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no)
+    assert corpus_pipeline.mix(spark, docs, folder).count() > 0
+
+
 def test_names():
     assert [int(q[2:].split("_")[0]) for q in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What runs inside passes rows to Python in batches of about `most` bytes; where the caller has set a size, that holds.
+
+    By rows alone a batch is 10,000 texts, which the executor and its worker both hold,
+    while its buffers grow even twice.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None) is None
+    if own:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for tables in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

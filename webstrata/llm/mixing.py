@@ -206,10 +206,9 @@ def mix_sources(docs: DataFrame, *, key: str = "doc_id", source: str = "source",
     sizes = [found[x][0] for x in names]
     target = targets(sizes, weights, share, most)
     p = plan(sizes, target, block_words, n_shards, seed)
-    facts = spark.createDataFrame(
-        [(i, name, s, t) for i, (name, s, t) in enumerate(zip(names, sizes, target, strict=True))],
-        "source_ix int, name string, source_size long, target double",
-    )
+    # from Arrow, as a list goes through Python workers of another kind, which stay beside those that run functions
+    kinds = {"source_ix": pa.int32(), "name": pa.string(), "source_size": pa.int64(), "target": pa.float64()}
+    facts = spark.createDataFrame(pa.table([range(len(names)), names, sizes, target], schema=pa.schema(list(kinds.items()))))
     buckets = 1 + sum(n for _, n in found.values()) // RANKED
     rows = (
         narrow.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("name")))

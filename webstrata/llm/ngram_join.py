@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm._components import components
-from webstrata.llm._io import free_name, most_frequent, stored
+from webstrata.llm._io import free_name, most_frequent, small_batches, stored
 from webstrata.llm._text import LOWER, SPACED, Counts, column, flat, list_array, look_up, mix, slices, window_hashes, word_hashes, words
 
 MOST_MATCHES = 8
@@ -291,6 +291,11 @@ def _found_again(docs: DataFrame, pick, held: int = 1 << 20) -> np.ndarray:
 
 def similarity_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, heavy: int = 1 << 18) -> DataFrame:
     """`key`, `n_shingles`, `component_id` and `text_hash` of every row."""
+    with small_batches(docs.sparkSession):  # all that runs in Python is stored there; the rows returned need none
+        return _classes(docs, key, text, n, threshold, heavy)
+
+
+def _classes(docs: DataFrame, key: str, text: str, n: int, threshold: float, heavy: int) -> DataFrame:
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     t = round(threshold * 1000)
